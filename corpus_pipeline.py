@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages of the training-data operators, one after the other over documents."""
+"""Corpus pipeline: stages of the training-data operators, one after the other over documents.
+
+Each stage takes what its predecessor kept, written as Parquet and read again, and drops rows for good; the last one
+packs what is left.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import exact_dedup, simhash
+from stowage.llm import decontaminate, exact_dedup, langid, packing, simhash
+from stowage.llm.common import materialise, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts in no language (null, or without a letter)."""
+    return langid.drop_unknown(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of equal texts."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each group of near duplicates."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact), ("simhash", near)]
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language), ("exact_dedup", exact), ("simhash", near), ("decontamination", benchmark), ("packing", pack)]
+
+#: SQL can express neither the language model nor the fingerprints (XXH64 with a seed).
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from stowage.llm.chat import examples, read_back
 from stowage.llm.common import table
+from stowage.llm.decontaminate import decontaminate
 from stowage.llm.exact_dedup import exact_duplicates
+from stowage.llm.langid import held_out, identify
+from stowage.llm.packing import pack
+from stowage.llm.pii import KINDS, redact
+from stowage.llm.quality import resample
 from stowage.llm.sharding import shard
 from stowage.llm.simhash import near_duplicates
+from stowage.llm.toxicity import toxicity
+
+#: Only an example; a real run takes its key from where secrets are kept.
+PII_KEY = b"an example key, not a secret one"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,19 +29,61 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity(docs, labels, held_out("doc_id", 5, 0))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    says = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.select("conv_id", "turn", "role", "text").schema)
+    return read_back(examples(rows.select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", "pii.text", *(f"pii.n_{k}" for k in KINDS))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return resample(table(spark, sf_dir, "documents"), good)
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
+    "op6_chat": op6_chat,
+    "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
