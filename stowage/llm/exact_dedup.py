@@ -23,6 +23,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # No disk space set aside in advance: with many small stores that alone is megabytes for each.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Up to so many repeated digests are sent to all executors to pick the hits; beyond, a shuffle join does it.
 BROADCAST_DIGESTS = 1_000_000
