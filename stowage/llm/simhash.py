@@ -99,27 +99,48 @@ def _longs(values: list[int]) -> Column:
 
 
 def _near_links(distinct: DataFrame) -> DataFrame:
-    """Links of at most 2 bits between distinct fingerprints."""
-    flips = _longs([0, *(1 << i for i in range(64))])
-    balls = distinct.select("fp", F.col("fp").alias("c"), F.explode(flips).alias("flip")).select("fp", "c", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    return _links(_star(balls, ["key"]))
+    """Links of at most 2 bits between distinct fingerprints.
+
+    A variant travels with the number of its flipped bit alone (0: none), from which the fingerprint follows.
+    """
+    flips = F.array(*(F.struct(F.lit(i).cast("byte").alias("i"), F.lit(_signed(1 << i >> 1) if i else 0).cast("long").alias("flip")) for i in range(65)))
+    balls = distinct.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.flip")).alias("key"), F.col("x.i").alias("i"))
+    rows = balls.repartition("key").select("key", F.col("key").bitwiseXOR(_bit(F.col("i"))).alias("fp"))
+    return _links(_star(rows.select("key", "fp", F.col("fp").alias("c")), ["key"]))
+
+
+def _bit(i: Column) -> Column:
+    """The number with bit i - 1 alone; 0 for 0."""
+    return F.when(i > 0, F.expr("shiftleft(1L, CAST(i AS INT) - 1)")).otherwise(F.lit(0).cast("long"))
 
 
 def _far_links(classes: DataFrame) -> DataFrame:
-    """Links of 3 bits between fingerprints of different classes; ``classes`` is (fp, c)."""
+    """Links of 3 bits between fingerprints of different classes; ``classes`` is (fp, c).
+
+    A variant travels with one int: the blanked bits, which block that is (from bit 22), the flipped bit (from 24).
+    """
     all_bits = (1 << 64) - 1
     variants, inner, inner2 = [], [], []
     for k, (lo, hi) in enumerate(BLOCKS):
         block = ((1 << hi) - 1) ^ ((1 << lo) - 1)
-        variants += [(k, all_bits ^ block, flip) for flip in [0, *(1 << i for i in range(64) if not lo <= i < hi)]]
+        variants += [(k, lo, block, i) for i in [0, *(i + 1 for i in range(64) if not lo <= i < hi)]]
         inner.append(_longs([block ^ (1 << i) for i in range(lo, hi)]))
         inner2.append((lo, hi, block))
-    each = F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.lit(_signed(keep)).cast("long").alias("keep"), F.lit(_signed(flip)).cast("long").alias("flip")) for k, keep, flip in variants))
-    balls = classes.select("fp", "c", F.explode(each).alias("x")).select(
-        "fp", "c", F.col("x.k").alias("k"), F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip")).alias("key"), (F.col("x.flip") == 0).alias("own")
-    )
+
+    def long(v: int) -> Column:
+        return F.lit(_signed(v)).cast("long")
+
+    each = F.array(*(F.struct(F.lit(lo).alias("lo"), long(all_bits ^ block).alias("keep"), long(1 << i >> 1).alias("flip"), F.lit(k << 22 | i << 24).alias("code")) for k, lo, block, i in variants))
+    balls = classes.select("fp", F.explode(each).alias("x"))
+    low = F.expr("CAST(shiftrightunsigned(fp & ~x.keep, x.lo) AS INT)")
+    balls = balls.select(F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip")).alias("key"), F.col("x.code").bitwiseOR(low).alias("code")).repartition("key")
+    rows = balls.select("key", F.shiftright("code", 24).alias("i"), F.shiftright("code", 22).bitwiseAND(F.lit(3)).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("long").alias("low"))
+    fp = F.col("key").bitwiseXOR(_bit(F.col("i"))).bitwiseOR(F.expr("shiftleft(low, 21 * k)"))
+    rows = rows.select("key", F.col("k").cast("byte").alias("k"), (F.col("i") == 0).alias("own"), fp.alias("fp"))
     bucket = Window.partitionBy("key", "k")
-    mixed = balls.select("*", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    several = rows.select("*", F.min("fp").over(bucket).alias("lo"), F.max("fp").over(bucket).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    several = materialise(several, "several").join(classes, "fp")
+    mixed = several.select("*", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi")).where("lo <> hi").drop("lo", "hi")
     mixed = materialise(mixed, "mixed")
     if mixed.isEmpty():
         return mixed.select(F.col("c").alias("u"), F.col("c").alias("v"))
