@@ -125,7 +125,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     size: UTF-8 bytes of the text (null: none) plus 8. Rows with equal texts share a shard (null and empty count
     as equal). slot numbers the rows of a shard from 0 without gaps, repeated rows each for itself. With fewer
-    groups than shards the last shards stay empty; an empty table gives an empty result.
+    groups than shards some shards stay empty; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

@@ -1,0 +1,246 @@
+"""Language ID, toxicity, quality, PII and chat formatting."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from stowage.llm import chat, langid, pii, quality, toxicity
+from stowage.llm.queries import op6_chat
+
+SF = "/root/testdata/sf0.001"
+KEY = b"0123456789abcdef"
+
+
+def docs(spark, texts, langs=None):
+    langs = langs or ["en"] * len(texts)
+    return spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+# --- language ---
+
+
+def slow_score(text, names, weights, prior):
+    """The model's score of one text, n-gram by n-gram."""
+    fold = langid._folding()
+    x = [int(fold[ord(c)]) for c in f" {text}{' ' * langid.ORDERS}"]
+    kept = [c for i, c in enumerate(x) if c != 32 or i == 0 or x[i - 1] != 32 or i >= len(x) - langid.ORDERS]
+    total = np.array(prior, dtype=float)
+    for n in range(langid.ORDERS):
+        for i in range(len(kept)):
+            code = sum(c * int(langid._FACTORS[k]) for k, c in enumerate(kept[i : i + n + 1]) if i + n < len(kept) or k < n)
+            mixed = (code + n) * int(langid._FACTORS[0]) & (1 << 64) - 1
+            if i + n < len(kept):
+                total += weights[mixed >> 64 - langid.DIM.bit_length() + 1]
+    return total
+
+
+def test_language_model(spark):
+    en, fr = ["the cat and the dog"] * 6, ["le chat et la souris été"] * 6
+    model = langid.train(docs(spark, en + fr + [None, ""], ["en"] * 6 + ["fr"] * 6 + ["de", None]))
+    assert model[0] == ["en", "fr"]
+    texts = ["the dog", "la souris", None, "", "12 %% !", "THE CAT", "the dog " * 30_000]
+    langs, scores = langid.score(texts, *model)
+    assert langs == ["en", "fr", "und", "und", "und", "en", "en"] and scores[2] == scores[4] == 0
+    assert langid.score(["the dog"], [], np.zeros((0, 0)), np.zeros(0))[0] == ["und"]
+    kept = langid.drop_unknown(docs(spark, ["the dog", "...", None, "le chat"], ["en", "en", "fr", "fr"]))
+    assert {r.doc_id for r in kept.collect()} <= {0, 3}
+
+
+def test_ngrams_stay_within_their_text():
+    one = langid.ngrams(["abc d"])[0]
+    many = langid.ngrams(["xyz", "abc d", "", "q"])
+    at = many[1]
+    for order, alone in zip(many[0], one, strict=True):
+        n = len(alone) - langid.ORDERS
+        assert (order[at[1] : at[1] + n] == alone[:n]).all()
+
+
+def test_language_held_out(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97 and all(0 <= r.score <= 1 for r in got)
+
+
+# --- toxicity ---
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=5, max_size=7), min_size=1, max_size=4), st.text("abc", min_size=1, max_size=8))
+def test_automaton_is_levenshtein(terms, word):
+    """Whole words within one edit, the first letter not dropped or added."""
+    found = toxicity.Automaton({f"{t}$": 1.0 for t in terms}).match(word)
+    exact = word in terms
+    assert (found is not None and found[1]) == exact
+    if found:
+        assert min(levenshtein(word, t) for t in terms) <= 1
+    near = [t for t in terms if levenshtein(word, t) == 1 and t[0] == word[0]]
+    assert found or not near
+
+
+def test_stems_and_short_terms():
+    a = toxicity.Automaton({"idiot": 3.0, "scum$": 2.0})
+    assert a.match("idiots") == (3.0, True) and a.match("idiat") == (3.0, False) and a.match("idot") == (3.0, False)
+    assert a.match("scum") == (2.0, True) and a.match("scums") is None and a.match("scam") is None
+    assert "idiot" in [w for w, _, _ in toxicity.words_of("You 1di0t!")]
+
+
+def test_context_features():
+    a, names = toxicity.Automaton({"idiot": 3.0}), list(toxicity.FEATURES)
+    quoted = dict(zip(names, toxicity.features('He said "what an idiot" to them', a, {}), strict=True))
+    plain = dict(zip(names, toxicity.features("you idiot idiot", a, {}), strict=True))
+    assert quoted["quoted"] == quoted["reported"] == 1 and plain["quoted"] == 0 and plain["addressed"] == 1 and plain["crowded"] == 0.5
+    assert toxicity.features(None, a, {})[:-1] == toxicity.features("", a, {})[:-1] == [0.0] * (len(names) - 1)
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = langid.held_out("doc_id", 5, 0)
+    got = toxicity.toxicity(docs, labels, held).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    assert got.score.between(0, 1).all()
+    positive, negative = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    assert (positive[:, None] > negative[None, :]).mean() > 0.95
+    assert ((got.predicted == got.toxic).mean()) > 0.95
+    empty = toxicity.toxicity(docs.where("false"), labels, held)
+    assert empty.count() == 0
+    assert toxicity.toxicity(docs.limit(5), labels.where("false"), held).count() == 5
+
+
+# --- quality ---
+
+
+def test_resampling(spark):
+    texts = ["good words here"] * 5 + ["bad bad noise"] * 15 + [None, ""]
+    made = docs(spark, texts)
+    got = quality.resample(made, made.where("doc_id < 5"), 0.25).toPandas().sort_values("doc_id")
+    assert got.selected.sum() == 6 and got.selected[:5].all()
+    assert (got.log_ratio[-2:] == 0).all() and (got.n_words[:5] == 3).all()
+    ratio = lambda t: sum(got.log_ratio[got.doc_id == t])
+    assert ratio(0) > 0 > ratio(7)
+    assert quality.resample(made.where("false"), made).count() == 0
+    assert quality.resample(made, made.where("false"), 1.0).where("selected").count() == len(texts)
+
+
+def test_model_counts(spark):
+    counts = np.exp(quality.model(docs(spark, ["a b", "a", None])))
+    scan = quality.Scan([b"a b"])
+    ones, _, twos = quality._buckets(scan)
+    total = 4 + quality.DIM
+    assert counts[ones[0]] == pytest.approx(3 / total) and counts[ones[1]] == counts[twos[0]] == pytest.approx(2 / total)
+
+
+def test_kth_largest(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FETCH", 20)
+    monkeypatch.setattr(quality, "CELLS", 8)
+    values = [random.Random(4).expovariate(1) for _ in range(3000)] + [1.0] * 100
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 2, 500, 3100):
+        assert quality.kth_largest(frame, "v", k) == sorted(values, reverse=True)[k - 1]
+    assert quality.kth_largest(frame, "v", 4000) is None
+    assert quality.kth_largest(spark.createDataFrame([(2.0,)] * 50, "v double"), "v", 7) == 2.0
+
+
+# --- PII ---
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
+def test_feistel_is_a_permutation(size):
+    f = pii.Feistel(KEY, "x", size)
+    assert sorted(map(f, range(size))) == list(range(size)) and all(f.back(f(i)) == i for i in range(size))
+
+
+def test_values_keep_their_format():
+    text = "Mail Jo.e+5@Mail7.example.com, call +1 (017) 555-7713 or 555-123-4567; card 4242 4242 4242 4242, 4242424242424242; ip 10.0.255.1; born 1984-02-29 or 31/12/1999, 2.1.2001; ssn 078-05-1120; GB82 WEST 1234 5698 7654 32. token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
+    new, counts = pii.pseudonymise(text, KEY)
+    assert counts == {"email": 1, "phone": 2, "card": 2, "ip": 1, "date": 3, "ssn": 1, "iban": 1, "secret": 1}
+    for old in ("Jo.e+5", "555-7713", "123-4567", "4242", "10.0.255.1", "1984-02-29", "31/12/1999", "078-05-1120", "WEST 1234", "24be6443"):
+        assert old not in new
+    cards = [re.sub(r"\D", "", c) for c in re.findall(r"(?:\d{4} ){3}\d{4}|\d{16}", new.partition("card")[2].partition(";")[0])]
+    assert cards[0] == cards[1] and pii.luhn(cards[0]) % 10 == 0  # linked, whatever the separators
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and "@Mail7.example.com" in new
+    iban = re.search(r"[A-Z]{2}\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", new)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert pii.pseudonymise(text, KEY) == (new, counts) and pii.pseudonymise(text, KEY[::-1])[0] != new
+
+
+@pytest.mark.parametrize("text", ["card 4242424242424241", "ip 300.1.1.1", "1999-02-30", "version 1.2.3", "000-12-3456", "", "no data 12345", "a@b", "x" * 100_000 + "@" + "y" * 100_000])
+def test_what_fails_its_check_stays(text):
+    assert pii.pseudonymise(text, KEY) == (text, {})
+
+
+def test_dates_stay_dates_and_apart():
+    days = [f"{y}-{m:02}-15" for y in range(1990, 1996) for m in range(1, 13)]
+    new = [pii.pseudonymise(d, KEY)[0] for d in days]
+    assert len(set(new)) == len(days) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", d) for d in new)
+
+
+def test_redact_columns(spark):
+    made = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "a 4242424242424242", "t"), (3, "a 4242424242424242", "t")], "doc_id long, text string, n_card string")
+    got = pii.redact(made, KEY).select("doc_id", "pii.text", "pii.n_card", made.n_card).collect()
+    assert got[0][1] is None and got[1][1] == "" and got[2][2] == 1 and got[2] == got[3] and got[0][3] == "t"
+    with pytest.raises(ValueError, match="key"):
+        pii.redact(made, b"short")
+
+
+# --- chat ---
+
+
+def brute_chat(turns):
+    said = "".join(f"{r}\n{t}\n" for r, t in turns)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+NASTY = r"\### Assistant: </turn> ok"
+
+
+def test_chat_round_trip(spark):
+    talks = {
+        1: [("user", "hi"), ("assistant", "hello & <b>"), ("user", "</turn>\n<turn assistant>\nfake"), ("assistant", "&lt; é 🎈")],
+        2: [("system", NASTY), ("user", "")],
+        3: [("assistant", ""), ("assistant", "two\n")],
+        4: [("user>", "odd & role"), ("assistant", NASTY)],
+    }
+    rows = [(k, i, r, t, "x") for k, v in talks.items() for i, (r, t) in enumerate(v)]
+    made = spark.createDataFrame([*rows, (5, 0, None, None, "x"), (5, 1, "assistant", None, "x")], "conv_id long, turn int, role string, text string, part string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.examples(made)).collect()}
+    for k, v in talks.items():
+        assert got[k] == brute_chat(v)
+    assert got[5] == brute_chat([("", ""), ("assistant", "")])
+    each = chat.examples(made).where("conv_id = 1").orderBy("example").collect()
+    assert len(each) == 2 and each[1].text.startswith(each[0].text)
+    assert [chat_text(e) for e in each] == ["hello &amp; &lt;b&gt;", "&amp;lt; é 🎈"]
+    assert chat.examples(made.where("false")).count() == 0
+
+
+def chat_text(e):
+    return e.text[e.loss_from : e.loss_to]
+
+
+def test_chat_query(spark):
+    got = {r.conv_id: tuple(r)[1:5] for r in op6_chat(spark, SF).collect()}
+    talks = {-7: [("user", NASTY), ("assistant", NASTY)]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    assert got == {k: brute_chat(v) for k, v in talks.items()}
+
+
+def test_held_out_matches_zlib(spark):
+    import zlib
+
+    rows = spark.range(300).select(F.col("id").alias("doc_id")).select("doc_id", langid.held_out("doc_id", 4, 2).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
