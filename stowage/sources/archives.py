@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import fields as ff
 from stowage.functions.paths import byte_text, display
+from stowage.sources import images
 from stowage.sources.codecs import DECODED_TOTAL, FILTER_DEPTH, ArchiveError, decode
 from stowage.sources.walkers import WALKERS, detect, zip_payload
 
@@ -29,10 +31,10 @@ def _rows(archive_id: str, content: bytes, payloads: bool, depth: int, total: in
     try:
         decoded, _ = decode(bytes(content), depth, total)
         data = memoryview(decoded)
-        kind = detect(data)
+        kind = images.detect_image(data) or detect(data)
         if kind is None:
             raise ArchiveError("Unsupported", "no known container")
-        for fields, records, size, body in WALKERS[kind](data, total):
+        for fields, records, size, body in (WALKERS | images.WALKERS)[kind](data, total):
             if not payloads:
                 yield archive_id, index, kind, fields, records, size, 0, None, None, None
             else:
@@ -43,7 +45,9 @@ def _rows(archive_id: str, content: bytes, payloads: bool, depth: int, total: in
                 for k in range(max(1, -(-len(body) // CHUNK))):
                     yield archive_id, index, kind, fields, records, size, k, bytes(body[k * CHUNK : (k + 1) * CHUNK]), None, None
             index += 1
-    except ArchiveError as e:
+    except (ArchiveError, struct.error, IndexError, ValueError) as e:
+        if not isinstance(e, ArchiveError):
+            e = ArchiveError("Malformed", f"{kind}: {e}")
         yield archive_id, index, kind, {}, {}, None, 0, None, e.kind, str(e)
 
 
@@ -112,16 +116,16 @@ def _decoded(raw: DataFrame, *more: str) -> DataFrame:
         {
             "path_raw": F.when(is_tar, tar_path).when(is_zip, zip_path).otherwise(F.col("name")),
             "pax_mtime": F.when(is_tar, ff.pax_time(_record("mtime").cast("string"))),
-            "secs": F.when(is_zip, F.when(has_time, ff.uint_le(F.col("times"), 1, 4).cast("int").cast("long")).otherwise(ff.dos_seconds(F.col("zip_date"), F.col("zip_time")))).otherwise(F.col("secs")),
+            "secs": F.when(is_zip, F.when(has_time, ff.uint_le(F.col("times"), 1, 4).cast("int").cast("long")).otherwise(ff.dos_seconds(F.col("zip_date"), F.col("zip_time")))).when(fmt == "iso9660", images.seconds("iso9660")).when(fmt == "cab", images.seconds("cab")).when(fmt == "xar", images.seconds("xar")).otherwise(F.col("secs")),
             "by_mode": F.col("full_mode").bitwiseAND(F.lit(0o170000)) != 0,
             "folder": (F.substring("name", -1, 1) == F.lit(b"/")) | (F.col("zip_attributes").bitwiseAND(F.lit(16)) != 0),
-            "link_raw": F.when(is_tar, F.coalesce(_record("linkpath"), _field("long_link"), _text(_field("link")))),
+            "link_raw": F.when(is_tar, F.coalesce(_record("linkpath"), _field("long_link"), _text(_field("link")))).otherwise(_field("link")),
             "sparse_text": F.split(_record("sparse").cast("string"), ","),
         }
     )
     kind = (
         F.when(is_tar, ff.kind_of_tar(byte_text(_field("flag")))).when(is_cpio | is_zip & F.col("by_mode"), ff.kind_of_mode(F.col("full_mode")))
-        .when(is_zip & F.col("folder"), "dir").otherwise("file")
+        .when(is_zip & F.col("folder"), "dir").otherwise(F.coalesce(_field("kind").cast("string"), F.lit("file")))
     )
     numbers = F.transform("sparse_text", lambda x: x.cast("long"))
     rows = rows.withColumn("kind", kind).withColumn("numbers", numbers)
