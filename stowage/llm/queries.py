@@ -15,7 +15,7 @@ from stowage.llm.exact_dedup import exact_duplicates
 from stowage.llm.langid import held_out, identify
 from stowage.llm.packing import pack
 from stowage.llm.pii import KINDS, redact
-from stowage.llm.quality import resample
+from stowage.llm.quality import FRACTION, resample
 from stowage.llm.sharding import shard
 from stowage.llm.simhash import near_duplicates
 from stowage.llm.toxicity import toxicity
@@ -64,8 +64,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1")
-    return resample(table(spark, sf_dir, "documents"), good)
+    """As large a sample as the labels say that there are good documents."""
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)")
+    share = labels.agg(F.avg("quality")).first()[0]
+    return resample(table(spark, sf_dir, "documents"), labels.where("quality = 1"), FRACTION if share is None else share)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
