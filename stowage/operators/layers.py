@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import ancestors, leaf, parent, sanitise
@@ -12,17 +12,21 @@ from stowage.operators.tables import materialise
 WHITEOUT, OPAQUE = ".wh.", ".wh..wh..opq"
 
 
-def marker(path: Column) -> Column:
-    """``opaque``, ``whiteout``, ``unsafe`` (a whiteout of nothing) or ``regular``."""
-    name = leaf(path)
-    return F.when(name == OPAQUE, "opaque").when(name == WHITEOUT, "unsafe").when(F.startswith(name, F.lit(WHITEOUT)), "whiteout").otherwise("regular")
+def _marked(entries: DataFrame) -> DataFrame:
+    """entries with marker and destination, step by step: each text is worked out once.
 
-
-def marker_target(path: Column) -> Column:
-    """What a marker is about: the parent for opaque, the sibling for a whiteout; null if that is unsafe."""
-    up, name = parent(path), F.substring(leaf(path), 5, 1 << 30)
-    sibling = F.when(up == "", name).otherwise(F.concat(up, F.lit("/"), name))
-    return F.when(marker(path) == "opaque", F.when(up == "", F.lit("")).otherwise(sanitise(up))).when(marker(path) == "whiteout", sanitise(sibling))
+    marker: ``opaque``, ``whiteout``, ``unsafe`` (a whiteout of nothing) or ``regular``. destination: the safe path of a
+    regular entry, the sibling that a whiteout is about, the directory of an opaque marker; null if that is unsafe.
+    """
+    rows = entries.withColumn("_leaf", leaf(F.col("path"))).withColumn("_up", parent(F.col("path")))
+    name, up = F.col("_leaf"), F.col("_up")
+    kind = F.when(name == OPAQUE, "opaque").when(name == WHITEOUT, "unsafe").when(F.startswith(name, F.lit(WHITEOUT)), "whiteout").otherwise("regular")
+    rows = rows.withColumn("marker", kind)
+    sibling = F.concat(F.when(up == "", "").otherwise(F.concat(up, F.lit("/"))), F.substring(name, 5, 1 << 30))
+    about = F.when(F.col("marker") == "regular", F.col("path")).when(F.col("marker") == "opaque", up).when(F.col("marker") == "whiteout", sibling)
+    rows = rows.withColumn("_about", about)
+    root = (F.col("marker") == "opaque") & (up == "")
+    return rows.withColumn("destination", F.when(root, "").otherwise(sanitise(F.col("_about")))).drop("_leaf", "_up", "_about")
 
 
 def _escaping(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,10 +51,8 @@ def layer_plan(entries: DataFrame, policy: Policy = Policy(True, True, False)) -
     """
     if "external" not in entries.columns:
         entries = entries.withColumn("external", F.lit(False))
-    mark = marker(F.col("path"))
-    rows = entries.select("archive_id", "entry_index", "path", "kind", "link_target", "external", mark.alias("marker"))
+    rows = _marked(entries.select("archive_id", "entry_index", "path", "kind", "link_target", "external"))
     rows = rows.where(~((F.col("kind") == "dir") & F.col("path").isin(".", "./")))
-    rows = rows.withColumn("destination", F.when(mark == "regular", sanitise(F.col("path"))).otherwise(marker_target(F.col("path"))))
     rows = materialise(rows.withColumn("depth", F.size(F.split("destination", "/"))), "layer")
     regular = rows.where("marker = 'regular' AND destination IS NOT NULL AND NOT external")
     link_ok = sanitise(F.col("link_target")).isNotNull()
@@ -97,11 +99,13 @@ def overlay(entries: DataFrame) -> DataFrame:
     entry of a later layer the entry of the same path. Lower entries meet the markers by an equality join on their
     ancestors; of all markers on a path only the last layer's counts.
     """
-    mark = marker(F.col("path"))
-    marks = entries.where(mark != "regular").select("image_id", "layer", mark.alias("marker"), marker_target(F.col("path")).alias("at")).where("at IS NOT NULL")
+    # Read three times below.
+    made = materialise(_marked(entries), "overlay").where("destination IS NOT NULL")
+    marks = made.where("marker <> 'regular'").select("image_id", "layer", "marker", F.col("destination").alias("at"))
     hidden = marks.groupBy("image_id", "at").agg(F.max(F.when(F.col("marker") == "whiteout", F.col("layer"))).alias("white"), F.max(F.when(F.col("marker") == "opaque", F.col("layer"))).alias("opaque"))
-    rows = entries.where(mark == "regular").withColumn("destination", sanitise(F.col("path"))).where("destination IS NOT NULL")
-    rows = rows.withColumn("_last", F.max("layer").over(Window.partitionBy("image_id", "destination"))).where("layer = _last").drop("_last")
+    rows = made.where("marker = 'regular'").drop("marker")
+    last = rows.groupBy("image_id", "destination").agg(F.max("layer").alias("layer"))
+    rows = rows.join(last, ["image_id", "destination", "layer"], "left_semi")
     up = rows.select("image_id", "layer", "entry_index", "destination", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("destination")))).alias("at"))
     gone = up.join(hidden, ["image_id", "at"]).where((F.col("white") > F.col("layer")) | (F.col("opaque") > F.col("layer")) & (F.col("at") != F.col("destination")))
     return rows.join(gone.select("image_id", "layer", "entry_index").distinct(), ["image_id", "layer", "entry_index"], "left_anti")

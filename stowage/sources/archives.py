@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,15 +26,23 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("archive_id"), "content")
 
 
-def _rows(archive_id: str, content: bytes, payloads: bool, depth: int, total: int) -> Iterator[tuple]:
+#: An own format: whether some bytes are of it, and its walker.
+Provider = tuple[Callable[[memoryview], bool], Callable[[memoryview, int], Iterator[tuple]]]
+
+
+def _rows(archive_id: str, content: bytes, payloads: bool, depth: int, total: int, providers: dict[str, Provider]) -> Iterator[tuple]:
     index, kind = 0, None
     try:
         decoded, _ = decode(bytes(content), depth, total)
         data = memoryview(decoded)
-        kind = images.detect_image(data) or detect(data)
+        own = [name for name, (probe, _) in providers.items() if probe(data)]
+        if len(own) > 1:
+            raise ArchiveError("Protocol", f"several providers for one archive: {', '.join(own)}")
+        kind = own[0] if own else images.detect_image(data) or detect(data)
         if kind is None:
             raise ArchiveError("Unsupported", "no known container")
-        for fields, records, size, body in (WALKERS | images.WALKERS)[kind](data, total):
+        walk = providers[kind][1] if own else (WALKERS | images.WALKERS)[kind]
+        for fields, records, size, body in walk(data, total):
             if not payloads:
                 yield archive_id, index, kind, fields, records, size, 0, None, None, None
             else:
@@ -51,9 +59,11 @@ def _rows(archive_id: str, content: bytes, payloads: bool, depth: int, total: in
         yield archive_id, index, kind, {}, {}, None, 0, None, e.kind, str(e)
 
 
-def raw_records(archives: DataFrame, payloads: bool = False, depth: int = FILTER_DEPTH, total: int = DECODED_TOTAL) -> DataFrame:
+def raw_records(archives: DataFrame, payloads: bool = False, depth: int = FILTER_DEPTH, total: int = DECODED_TOTAL, providers: dict[str, Provider] | None = None) -> DataFrame:
     """Raw records of archives (archive_id, content), one archive after the other in each task, in batches of bounded size.
 
+    ``providers`` go before the formats that are built in; a walker yields raw fields (name, and optionally kind, mode,
+    uid, gid, mtime, link, each as bytes), extended records, size and payload.
     An archive that cannot be read further gives the records before that point and a last row with the error.
     """
     names = [c.split()[0] for c in RAW.split(", ")]
@@ -63,7 +73,7 @@ def raw_records(archives: DataFrame, payloads: bool = False, depth: int = FILTER
         held = 0
         for batch in batches:
             for archive_id, content in zip(batch["archive_id"], batch["content"], strict=True):
-                for row in _rows(archive_id, b"" if content is None else content, payloads, depth, total):
+                for row in _rows(archive_id, b"" if content is None else content, payloads, depth, total, providers or {}):
                     rows.append(row)
                     held += 200 + len(row[7] or b"")
                     if held > 2 * CHUNK:
@@ -143,19 +153,19 @@ def _decoded(raw: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def entries(archives: DataFrame, **options: int) -> DataFrame:
+def entries(archives: DataFrame, **options) -> DataFrame:
     """The entries of archives, without payloads (ZIP payloads are not even decoded)."""
     return _decoded(raw_records(archives, False, **options))
 
 
-def payloads(archives: DataFrame, **options: int) -> DataFrame:
+def payloads(archives: DataFrame, **options) -> DataFrame:
     """Entries with payloads: one row per chunk (chunk_index, payload). ZIP members are checked against their CRC."""
     made = _decoded(raw_records(archives, True, **options), "chunk_index", "payload")
     wrong = (F.col("format") == "zip") & (F.length("payload") == F.col("size")) & (F.crc32("payload") != F.col("crc"))
     return made.withColumn("payload", F.when(wrong, F.raise_error(F.concat(F.lit("Integrity: zip: CRC of "), F.col("path"))).cast("binary")).otherwise(F.col("payload")))
 
 
-def errors(archives: DataFrame, payloads: bool = False, **options: int) -> DataFrame:
+def errors(archives: DataFrame, payloads: bool = False, **options) -> DataFrame:
     """One row per archive that could not be read to its end: what was wrong, and behind how many entries."""
     return raw_records(archives, payloads, **options).where("error_kind IS NOT NULL").select("archive_id", F.col("entry_index").alias("entries_before"), "error_kind", "error")
 

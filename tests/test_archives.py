@@ -225,3 +225,15 @@ def test_sink_and_landing(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out/archives"))
     assert sorted(r.complete for r in done.collect()) == [False, True, True]
     assert sa.blobs(spark, folder).where(F.endswith("archive_id", F.lit(".tar"))).count() == 3
+
+
+def test_own_formats_go_first(spark):
+    def walk(data, budget):
+        for line in bytes(data[4:]).split(b"\n"):
+            yield {"name": line, "uid": b"3"}, {}, len(line), line
+
+    own = {"lines": (lambda d: bytes(d[:4]) == b"LNS\n", walk)}
+    data = gzip.compress(b"LNS\na\nbc")
+    assert rows(sa.payloads(frame(spark, data), providers=own), "path", "size", "uid", "format") == [("a", 1, 3, "lines"), ("bc", 2, 3, "lines")]
+    twice = own | {"again": own["lines"]}
+    assert sa.errors(frame(spark, data), providers=twice).first().error_kind == "Protocol"
