@@ -31,6 +31,12 @@ def _round(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 OR a > 0 AND b > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two columns of type long) but the roots themselves.
 
@@ -41,9 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
     u, v = edges.columns
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
     now = materialise(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen, now = state, materialise(_round(now), "edges")
+    while not _settled(now):
+        now = materialise(_round(now), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
