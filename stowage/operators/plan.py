@@ -101,3 +101,10 @@ def cpio_link_targets(entries: DataFrame) -> DataFrame:
     targets = targets.select(*by, F.coalesce("full", "any").alias("target"), "members")
     joined = rows.join(targets, by)
     return joined.select("archive_id", "entry_index", "path", F.when(F.col("target.entry_index") != F.col("entry_index"), F.col("target.path")).alias("link_target"), "members")
+
+
+def plan_report(plan: DataFrame) -> DataFrame:
+    """One JSON report for each archive: counts by outcome, for reading only (a plan is worked out anew when applied)."""
+    counts = plan.groupBy("archive_id", "outcome").agg(F.count("*").alias("n"))
+    by_outcome = counts.groupBy("archive_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"))
+    return by_outcome.select("archive_id", F.to_json(F.struct(F.lit("plan").alias("type"), F.lit(False).alias("reusable"), "outcomes")).alias("report"))

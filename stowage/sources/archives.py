@@ -190,3 +190,13 @@ def layer_digests(archives: DataFrame, depth: int = FILTER_DEPTH, total: int = D
             yield pd.DataFrame(rows, columns=["archive_id", "digest", "diff_id", "filters"])
 
     return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInPandas(one, "archive_id string, digest string, diff_id string, filters array<string>")
+
+
+def decompress(archives: DataFrame, depth: int = FILTER_DEPTH, total: int = DECODED_TOTAL) -> DataFrame:
+    """What is within the outer compression: archive_id, content, filters (outermost first)."""
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *decode(bytes(c or b""), depth, total)) for i, c in zip(b["archive_id"], b["content"], strict=True)], columns=["archive_id", "content", "filters"])
+
+    return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInPandas(one, "archive_id string, content binary, filters array<string>")

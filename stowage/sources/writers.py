@@ -13,11 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from stowage.functions import fields as ff
+from stowage.functions.paths import create_name
 from stowage.sources.codecs import ArchiveError, encode
 
 FORMATS = ("tar", "cpio", "ar", "zip")
@@ -153,6 +154,27 @@ def pack(entries: DataFrame, fmt: str, codec: str | None = None) -> DataFrame:
     return pieces.groupBy("archive_id").applyInPandas(joined, "archive_id string, content binary")
 
 
+def build_layers(entries: DataFrame, codec: str | None = "gzip") -> DataFrame:
+    """Image layers: archive_id, content, digest (of what is stored) and diff_id (of the tar within), as descriptors."""
+    plain = pack(entries, "tar").select("archive_id", ff.descriptor(ff.digest(F.col("content"))).alias("diff_id"), "content")
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(content=[encode(bytes(c), codec) for c in b["content"]])
+
+    out = plain.mapInPandas(packed, "archive_id string, diff_id string, content binary")
+    return out.select("archive_id", "content", ff.descriptor(ff.digest(F.col("content"))).alias("digest"), "diff_id")
+
+
+def from_files(spark: SparkSession, folder: str, archive_id: str) -> DataFrame:
+    """Entries of an archive of all files below a folder: names relative to it, in their order; unsafe names are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = create_name(F.element_at(F.split("path", f"/{folder.strip('/').rpartition('/')[2]}/", 2), -1))
+    rows = files.select(F.lit(archive_id).alias("archive_id"), name.alias("path"), F.lit("file").alias("kind"), F.col("content").alias("payload"), F.unix_timestamp("modificationTime").alias("secs"))
+    nth = F.row_number().over(Window.partitionBy("archive_id").orderBy("path"))
+    return rows.where("path IS NOT NULL").withColumn("entry_index", nth.cast("long"))
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]) -> None:
         self.files = files

@@ -237,3 +237,19 @@ def test_own_formats_go_first(spark):
     assert rows(sa.payloads(frame(spark, data), providers=own), "path", "size", "uid", "format") == [("a", 1, 3, "lines"), ("bc", 2, 3, "lines")]
     twice = own | {"again": own["lines"]}
     assert sa.errors(frame(spark, data), providers=twice).first().error_kind == "Protocol"
+
+
+def test_layers_files_and_decompression(spark, tmp_path):
+    from stowage.sources.writers import build_layers, from_files
+
+    folder = tmp_path / "top"
+    (folder / "d").mkdir(parents=True)
+    (folder / "d" / "x").write_bytes(b"1")
+    (folder / "a").write_bytes(b"22")
+    made = from_files(spark, str(folder), "z")
+    assert [(r.entry_index, r.path, bytes(r.payload)) for r in made.orderBy("entry_index").collect()] == [(1, "a", b"22"), (2, "d/x", b"1")]
+    layer = build_layers(made).first()
+    inner = gzip.decompress(bytes(layer.content))
+    assert layer.digest == "sha256:" + hashlib.sha256(layer.content).hexdigest() and layer.diff_id == "sha256:" + hashlib.sha256(inner).hexdigest()
+    out = sa.decompress(frame(spark, gzip.compress(bz2.compress(b"q")), b"plain")).orderBy("archive_id").collect()
+    assert [(bytes(r.content), r.filters) for r in out] == [(b"q", ["gzip", "bzip2"]), (b"plain", [])]

@@ -220,3 +220,11 @@ def test_deb_and_rpm(spark):
     assert codes(op.deb_findings(members(*good), all_of, nested)) == ["duplicate-entry-path", "unsafe-entry-path"]
     rpm = spark.createDataFrame([("r", True, True, "cpio", "xz", "gzip")], "archive_id string, lead_ok boolean, header_ok boolean, payload_format string, compressor string, detected string")
     assert codes(op.rpm_findings(rpm)) == ["compressor-mismatch"]
+
+
+def test_plan_report(spark):
+    from stowage.operators.plan import has_rejections, plan_report
+
+    made = plan(spark.createDataFrame([("a", 0, "x", "file", None), ("a", 1, "../y", "file", None), ("b", 0, ".", "dir", None)], ENTRY))
+    assert {r.archive_id: r.report for r in plan_report(made).collect()}["a"] == '{"type":"plan","reusable":false,"outcomes":{"materialize":1,"reject:UnsafePath":1}}'
+    assert {r.archive_id: r.has_rejections for r in has_rejections(made).collect()} == {"a": True, "b": False}
