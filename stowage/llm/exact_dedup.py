@@ -97,13 +97,14 @@ def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_b
     state = materialise(state, "state")
     out = rows.withColumnRenamed("digest", "d").join(state, F.col("d") == state.digest).drop("digest").withColumnRenamed("d", "digest")
 
-    hits = state.where("n > 1").select(F.col("digest").alias("hit"))
+    # 8 bytes each; what is picked by chance has a digest of its own and is compared with itself.
+    hits = state.where("n > 1").select(F.xxhash64("digest").alias("hit"))
     repeated = hits.count()
     if repeated:
         texts = src.select("doc_id", "__file", "__row", normalised(F.col("text")).alias("norm"))
         texts = texts.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", digest_of(F.col("sha")))
         picked = F.broadcast(hits) if repeated <= BROADCAST_DIGESTS else hits
-        texts = texts.join(picked, F.col("digest") == F.col("hit"), "left_semi")
+        texts = texts.join(picked, F.xxhash64("digest") == F.col("hit"), "left_semi")
         unlike = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest")
         unlike = materialise(unlike, "unlike")
         if not unlike.isEmpty():
