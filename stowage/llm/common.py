@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it.
@@ -44,6 +44,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(key: str, share: float) -> Column:
+    """True for about ``share`` of all keys, chosen by a hash, the same ones each time."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +66,29 @@ def with_locator(df: DataFrame, file_col: str = "__file", row_col: str = "__row"
         return materialise(df, "rows").select("*", *where)
 
 
+#: Bitmaps of 4 KB for 32,768 rows each that are broadcast at most; beyond, rows are dropped by a shuffle join.
+BITMAPS = 8_192
+
+
+def without_rows(located: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``located`` (with __file, __row) without the rows whose places are in ``dropped`` (__file, __row).
+
+    The places become a bit for each row, by file and 32,768 rows. Where these are few enough they go to all tasks,
+    and the texts are never shuffled.
+    """
+    row = F.col("__row") + 1  # counted from 1 there
+    bits = dropped.groupBy(F.col("__file").alias("__f"), F.bitmap_bucket_number(row).alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("__bits"))
+    bits = materialise(bits, "dropped")
+    if bits.count() > BITMAPS:
+        gone = dropped.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"))
+        return located.join(gone, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")), "left_anti")
+    at = F.bitmap_bit_position(row)
+    joined = located.join(F.broadcast(bits), (F.col("__file") == F.col("__f")) & (F.bitmap_bucket_number(row) == F.col("__b")), "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int")))
+    return joined.where(F.col("__bits").isNull() | (bit == 0)).drop("__f", "__b", "__bits")
+
+
 def power_table(base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i < n."""
     out = np.full(n, base, dtype=np.uint64)

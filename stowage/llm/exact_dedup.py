@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WHITE, materialise, new_folder, with_locator
+from stowage.llm.common import WHITE, materialise, new_folder, with_locator, without_rows
 
 #: State on disk, with bounded memory for all stores of an executor together.
 STATE_STORE = {
@@ -136,6 +136,5 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are not kept, all columns as they were."""
     located = with_locator(docs)
-    kept = _classify(located.select("doc_id", "text", "__file", "__row"), lambda sha: sha, BATCH_BYTES).where("kept")
-    kept = kept.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"))
-    return located.join(kept, (located["__file"] == kept["__f"]) & (located["__row"] == kept["__r"]), "left_semi").select(*docs.columns)
+    found = _classify(located.select("doc_id", "text", "__file", "__row"), lambda sha: sha, BATCH_BYTES)
+    return without_rows(located, found.where("NOT kept").select("__file", "__row")).select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, with_locator
+from stowage.llm.common import materialise, with_locator, without_rows
 from stowage.llm.components import components
 
 RADIUS = 3
@@ -202,6 +202,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each component left, all columns as they were."""
     located = with_locator(docs)
-    kept = _classify(located.select("doc_id", "text", "__file", "__row"), width).where("representative")
-    kept = kept.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"))
-    return located.join(kept, (located["__file"] == kept["__f"]) & (located["__row"] == kept["__r"]), "left_semi").select(*docs.columns)
+    found = _classify(located.select("doc_id", "text", "__file", "__row"), width)
+    return without_rows(located, found.where("NOT representative").select("__file", "__row")).select(*docs.columns)

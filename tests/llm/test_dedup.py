@@ -155,3 +155,17 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     made = spark.createDataFrame([(3, "s", "f", 0, "d"), (1, "s", "g", 0, "d"), (4, "t", "f", 1, "e")], kind)
     state = {r.digest: (r.first.doc_id, r.n) for r in exact_dedup.run_stream(made, folder, 1).collect()}
     assert state == {"d": (1, 2), "e": (4, 1)}
+
+
+@pytest.mark.parametrize("most", [8192, 0])
+def test_rows_are_dropped_by_place(spark, monkeypatch, tmp_path, most):
+    """By broadcast bitmaps, and by a join beyond their number."""
+    from stowage.llm import common
+
+    monkeypatch.setattr(common, "BITMAPS", most)
+    spark.range(0, 100_000, 1, 3).withColumn("text", F.col("id").cast("string")).write.parquet(str(tmp_path / "t"))
+    located = common.with_locator(spark.read.parquet(str(tmp_path / "t")))
+    gone = located.where("id % 7 = 0 OR id IN (1, 32767, 32768, 33333)").select("__file", "__row")
+    left = common.without_rows(located, gone)
+    assert left.columns == located.columns
+    assert sorted(r.id for r in left.select("id").collect()) == [i for i in range(100_000) if i % 7 and i not in (1, 32767, 32768, 33333)]
