@@ -29,7 +29,7 @@ _NUMBERS = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))"
     r"|(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w]|-\d))"
     r"|(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]|[ -]\d))"
-    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,}(?!\w))"
+    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,128}(?!\w))"
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _AROUND = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, with_locator
+from stowage.llm.common import materialise, sampled, with_locator
 from stowage.llm.decontaminate import CHUNK, Scan
 
 DIM = 1 << 14
@@ -114,7 +114,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION,
     """
     ids = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
     share = min(1.0, target_rows / max(1, ids.count()))
-    picked = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    picked = ids.where(sampled("doc_id", share))
     # Distinct ids, about ``target_rows`` of them, so small enough to broadcast.
     target = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
     weights = model(target) - model(docs)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise
+from stowage.llm.common import materialise, sampled
 
 #: About so many labelled rows, chosen by a hash of the id, are learnt from; all of them if there are fewer.
 TRAIN_ROWS = 20_000
@@ -39,7 +39,8 @@ FEATURES = ("exact", "near", "best", "density", "distinct", "quoted", "reported"
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("013457@$", "oieastas")
-_MASKED = re.compile(r"(?<![^\W\d_])(?=[^\s]*[^\W\d_])(?=[^\s]*[013457@$])[^\W_@$]*(?:[013457@$][^\W_@$]*)+")
+#: A word with letters and signs mixed; what is looked ahead is bounded, so that long runs without spaces cost no more.
+_MASKED = re.compile(r"(?<![^\W\d_])(?=\S{0,30}[^\W\d_])(?=\S{0,30}[013457@$])[^\W_@$]{0,60}(?:[013457@$][^\W_@$]{0,60})+")
 
 
 class Automaton:
@@ -263,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[d
     """
     known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     share = min(1.0, rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    picked = known.where(sampled("doc_id", share))
     # Distinct ids and labels, about ``rows`` of them, so small enough to broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"])
     sample = materialise(sample, "labelled")
