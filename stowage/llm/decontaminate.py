@@ -7,6 +7,7 @@ a sorted set of hashes pick candidates, and each candidate's bytes are compared
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ WIDTH = 13
 #: Words of benchmark text that one broadcast holds; a larger benchmark is used block by block.
 BLOCK_WORDS = 400_000
 #: Bytes of text worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _P, _Q = 0x100000001B3, 0x9E3779B97F4A7C15
 _P_INV, _Q_INV = pow(_P, -1, 1 << 64), pow(_Q, -1, 1 << 64)
@@ -28,6 +29,8 @@ _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 #: Letters, digits and everything beyond ASCII make words (of text already lower-cased).
 _WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+#: A byte between words.
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _BITS = 20
 
 
@@ -41,20 +44,34 @@ def _upto(which: int, n: int) -> np.ndarray:
 
 
 class Scan:
-    """The words of some texts: where they start and end in ``low``, their hashes, and which text they are in."""
+    """The words of some texts: where they start and end, their hashes, and which text they are in.
+
+    Bytes are worked through in blocks that end between words, so that a very long text takes memory for its words only.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
-        joined = b"\0".join([*texts, b""])
-        self.low = _LOWER[np.frombuffer(joined, dtype=np.uint8)]
-        word = np.concatenate(([0], _WORD[self.low].view(np.int8), [0]))
-        step = np.diff(word)
-        self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.joined = b"\0".join([*texts, b""])
+        starts, ends, hashes = [], [], []
+        at, n = 0, len(self.joined)
+        while at < n:
+            stop = at + CHUNK
+            if stop < n:
+                found = _GAP.search(self.joined, stop)
+                stop = found.start() if found else n
+            else:
+                stop = n
+            low = _LOWER[np.frombuffer(self.joined, dtype=np.uint8, count=stop - at, offset=at)]
+            step = np.diff(np.concatenate(([0], _WORD[low].view(np.int8), [0])))
+            start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            sums = np.zeros(len(low) + 1, dtype=np.uint64)
+            np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _upto(0, len(low)), out=sums[1:])
+            hashes.append(mix((sums[end] - sums[start]) * _upto(1, len(low) + 1)[start]))
+            starts.append(start + at)
+            ends.append(end + at)
+            at = stop
+        self.start, self.end, self.hash = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, ends, hashes))
         self.at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
         self.first = np.searchsorted(self.start, self.at)
-        n = len(self.low)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _upto(0, n), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _upto(1, n + 1)[self.start])
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.raw: bytes | None = None
 
@@ -71,7 +88,7 @@ class Scan:
 
     def words(self, first: int, width: int) -> bytes:
         if self.raw is None:
-            self.raw = self.low.tobytes()
+            self.raw = self.joined.lower()  # A-Z alone
         return b" ".join(self.raw[a:b] for a, b in zip(self.start[first : first + width], self.end[first : first + width], strict=True))
 
 

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import sampled
+
 UNKNOWN = "und"
 #: Buckets for n-grams of 1 to ORDERS characters.
 DIM, ORDERS = 1 << 15, 3
 #: About so many labelled rows, chosen by a hash of the id, train the model; all of them if there are fewer.
 TRAIN_ROWS = 50_000
 #: Characters worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A model with more languages than this would outgrow its broadcast (DIM x 4 bytes each).
 MOST_LANGUAGES = 500
 
@@ -35,16 +37,19 @@ def _folding() -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
-        if n >= CHUNK:
-            yield some
-            some, n = [], 0
+def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with their numbers, some at a time; a text of more than CHUNK characters comes in several pieces."""
+    numbers, some, n = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) or 1, CHUNK):
+            numbers.append(i)
+            some.append(t[at : at + CHUNK])
+            n += len(some[-1])
+            if n >= CHUNK:
+                yield numbers, some
+                numbers, some, n = [], [], 0
     if some:
-        yield some
+        yield numbers, some
 
 
 def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -83,7 +88,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, rows in batch.groupby("lang"):
             docs[lang] = docs.get(lang, 0) + len(rows)
             total = counts.setdefault(lang, np.zeros(DIM, dtype=np.int64))
-            for texts in _chunks(rows["text"].tolist()):
+            for _, texts in _chunks(rows["text"].tolist()):
                 for buckets in ngrams(texts)[0]:
                     total += np.bincount(buckets, minlength=DIM)
     for lang, total in counts.items():
@@ -100,7 +105,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
     total = known.count()
     share = min(1.0, rows / max(1, total))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).where("text IS NOT NULL")
+    sample = known.where(sampled("id", share)).where("text IS NOT NULL")
     counted = sample.select("lang", "text").mapInPandas(_count, "lang string, bucket int, n long")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = sorted(r.lang for r in sums.where("bucket = -1").select("lang").limit(MOST_LANGUAGES + 1).collect())
@@ -118,24 +123,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def score(texts: list[str | None], names: list[str], weights: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
-    langs: list[str] = []
-    scores: list[np.ndarray] = []
-    for some in _chunks([t or "" for t in texts]):
-        buckets, at, letters = ngrams(some)
-        if not names:
-            langs += [UNKNOWN] * len(some)
-            scores.append(np.zeros(len(some)))
-            continue
-        total = np.tile(prior, (len(some), 1))
-        for b in buckets:
-            total += np.add.reduceat(weights[b], at[:-1], axis=0, dtype=np.float64)
-        total -= total.max(axis=1, keepdims=True)
-        odds = np.exp(total)
-        odds /= odds.sum(axis=1, keepdims=True)
-        best = odds.argmax(axis=1)
-        langs += [names[i] if n else UNKNOWN for i, n in zip(best, letters, strict=True)]
-        scores.append(np.where(letters > 0, odds[np.arange(len(some)), best], 0.0))
-    return langs, np.concatenate(scores) if scores else np.zeros(0)
+    total = np.tile(prior, (len(texts), 1)) if names else np.zeros((len(texts), 0))
+    letters = np.zeros(len(texts), dtype=np.int64)
+    for numbers, some in _chunks([t or "" for t in texts]):
+        buckets, at, found = ngrams(some)
+        np.add.at(letters, numbers, found)
+        if names:
+            for b in buckets:
+                np.add.at(total, numbers, np.add.reduceat(weights[b], at[:-1], axis=0, dtype=np.float64))
+    if not names or not texts:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    total -= total.max(axis=1, keepdims=True)
+    odds = np.exp(total)
+    odds /= odds.sum(axis=1, keepdims=True)
+    best = odds.argmax(axis=1)
+    langs = [names[i] if n else UNKNOWN for i, n in zip(best, letters, strict=True)]
+    return langs, np.where(letters > 0, odds[np.arange(len(texts)), best], 0.0)
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: Column) -> Column:

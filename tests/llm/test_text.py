@@ -99,6 +99,16 @@ def test_stems_and_short_terms():
     assert "idiot" in [w for w, _, _ in toxicity.words_of("You 1di0t!")]
 
 
+def test_long_runs_cost_no_more():
+    import time
+
+    start = time.perf_counter()
+    for run in ("1" * 200_000, "a1" * 100_000, "@$" * 100_000, "a" * 200_000, "1a " * 70_000):
+        toxicity.words_of(f"you 1di0t {run} x")
+        pii.pseudonymise(run, KEY)
+    assert time.perf_counter() - start < 20
+
+
 def test_context_features():
     a, names = toxicity.Automaton({"idiot": 3.0}), list(toxicity.FEATURES)
     quoted = dict(zip(names, toxicity.features('He said "what an idiot" to them', a, {}), strict=True))
@@ -244,3 +254,17 @@ def test_held_out_matches_zlib(spark):
 
     rows = spark.range(300).select(F.col("id").alias("doc_id")).select("doc_id", langid.held_out("doc_id", 4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    weights, prior = np.log(np.random.default_rng(1).random((langid.DIM, 2)) + 0.1).astype(np.float32), np.log(np.array([0.4, 0.6]))
+    texts = ["ab cd " * 50, "", "x", "é ü " * 70]
+    whole = langid.score(texts, ["a", "b"], weights, prior)
+    monkeypatch.setattr(langid, "CHUNK", 100_000)
+    same = langid.score(texts, ["a", "b"], weights, prior)
+    assert whole[0] == same[0] and np.allclose(whole[1], same[1])
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    pieces = list(langid._chunks(["a" * 150, "", "b"]))
+    assert [i for numbers, _ in pieces for i in numbers] == [0, 0, 0, 1, 2] and "".join(t for _, some in pieces for t in some) == "a" * 150 + "b"
+    langs, scores = langid.score(texts, ["a", "b"], weights, prior)
+    assert langs[1] == "und" and ((0 <= scores) & (scores <= 1)).all()
