@@ -1,6 +1,6 @@
 """Toxicity by a misspelling-tolerant lexicon and the context of its hits.
 
-The lexicon is learnt: stems and words that labelled toxic texts have far more often than clean ones. Its trie is
+The lexicon is learnt: words and stems that labelled toxic texts have far more often than clean ones. Its trie is
 intersected with Levenshtein automata of one edit: the product is walked letter by letter over each word, its states
 made as they are first reached, and most words leave it within a few letters. Each hit is then seen in its window of
 words: quotation marks and words of reporting speak for quotation, address and repetition for abuse. A logistic
@@ -26,9 +26,14 @@ TRAIN_ROWS = 20_000
 SHORTEST, LONGEST, FUZZY = 4, 10, 5
 #: Stems and words of a lexicon at most, best first.
 TERMS = 1_000
+#: Words of clean texts close to a term that are remembered as no misspelling of it, most frequent first.
+KNOWN = 10_000
+#: Log of how many times more often toxic texts have a telling term.
+TELLING = 2.0
 WINDOW = 8
-#: Words remembered by each task.
+#: Words, and states of the automaton, remembered by each task.
 CACHE = 200_000
+STATES = 50_000
 
 #: Quotation marks, words that report speech, words that address someone.
 QUOTES = "\"'«»“”„‘’`"
@@ -46,24 +51,40 @@ _MASKED = re.compile(r"(?<![^\W\d_])(?=\S{0,30}[^\W\d_])(?=\S{0,30}[013457@$])[^
 class Automaton:
     """Trie of terms, each with a weight, and one allowed edit for terms of FUZZY letters or more.
 
-    A term ending in ``$`` matches a whole word, any other the start of one.
+    A term ending in ``$`` matches a whole word, any other the start of one. One ending in ``=`` allows no edit, and a
+    whole word of weight 0 is known to be no misspelling.
     """
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.weight: list[float] = [0.0]
         self.fuzzy: list[bool] = [False]
-        for term, weight in terms.items():
-            node = 0
+        #: Whether a fuzzy term is at a node or below; only those are worth an edit.
+        self.leads: list[bool] = [False]
+        self.known: set[int] = set()
+        self.names: dict[int, str] = {}
+        for name, weight in terms.items():
+            term = name.rstrip("=")
+            node, far = 0, weight > 0 and name == term and len(term.rstrip("$")) >= FUZZY
+            self.leads[0] |= far
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.weight.append(0.0)
                     self.fuzzy.append(False)
+                    self.leads.append(False)
                 node = self.children[node][c]
+                self.leads[node] |= far
             self.weight[node] = max(self.weight[node], weight)
-            self.fuzzy[node] = len(term.rstrip("$")) >= FUZZY
+            self.fuzzy[node] = far
+            if far:
+                self.names[node] = term
+            if not weight:
+                self.known.add(node)
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -84,14 +105,14 @@ class Automaton:
         out: dict[int, int] = {}
 
         def put(node: int, edits: int) -> None:
-            if edits < out.get(node, 2):
+            if edits < out.get(node, 2) and (not edits or self.leads[node]):
                 out[node] = edits
 
         for node, edits in self.sets[state]:
             own = self.children[node]
             if c in own:
                 put(own[c], edits)
-            if not edits and node:  # the first letter has to be right, or only swapped for another
+            if not edits:
                 if c != "$":
                     put(node, 1)
                 for child in own.values():
@@ -105,6 +126,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[float, bool] | None:
         """Weight of the best term and whether it matches without an edit."""
+        if len(self.sets) > STATES:
+            self._forget()
         state, best = self.start, None
         for c in f"{word}$":
             nxt = self.steps[state].get(c)
@@ -116,8 +139,19 @@ class Automaton:
                 best = max(best, hit) if best else hit
             elif not self.sets[state]:
                 break
+        if best and any(n in self.known for n, e in self.sets[state] if not e):
+            return None
         return best
 
+    def near(self, word: str) -> set[str]:
+        """Terms that the word matches with an edit."""
+        state, out = self.start, set()
+        for c in f"{word}$":
+            nxt = self.steps[state].get(c)
+            state = self._step(state, c) if nxt is None else nxt
+            out |= {self.names[n] for n, e in self.sets[state] if e and n in self.names}
+        return out
+
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Words in lower case with their places; letters disguised as digits or signs are read as letters."""
@@ -213,18 +247,68 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     a, b = terms["a"].to_numpy(float), terms["b"].to_numpy(float)
     terms["weight"] = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
     terms["g2"] = _g2(a, b, na, nb)
-    terms = terms[(terms.weight > 2) & (terms.g2 > 2 * math.log(max(100, len(terms))))]
-    out: dict[str, float] = {}
+    terms = terms[(terms.weight > TELLING) & (terms.g2 > 2 * math.log(max(100, len(terms))))]
+    return _calibrated(sample, _chosen(terms), na, nb)
+
+
+def _calibrated(sample: DataFrame, lexicon: dict[str, float], na: int, nb: int) -> dict[str, float]:
+    """The lexicon without edits that clean texts speak against.
+
+    A word that several clean texts have is itself, no misspelling. What single clean texts have tells how often an
+    edited term is met by chance; a term of which that makes no telling one allows no edit.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, seen = Automaton(shared.value), {}
+        counts: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            for t, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                for w in {w for w, _, _ in words_of(t or "")}:
+                    if w not in seen:
+                        hit = automaton.match(w)
+                        seen[w] = hit is not None and not hit[1]
+                    if seen[w]:
+                        counts[w, toxic] = counts.get((w, toxic), 0) + 1
+        yield pd.DataFrame([(w, toxic, n) for (w, toxic), n in counts.items()], columns=["word", "toxic", "n"])
+
+    met = sample.select("text", "toxic").mapInPandas(near, "word string, toxic int, n long").groupBy("word")
+    met = met.agg(F.sum(F.expr("IF(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(toxic = 0, n, 0)")).alias("b")).toPandas()  # words close to a term, of at most TRAIN_ROWS texts
+
+    def tells(a, b):
+        return np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1)) > TELLING
+
+    clean = met[(met.b >= 2) & ~tells(met.a, met.b)].sort_values(["b", "word"], ascending=[False, True])
+    automaton = Automaton(lexicon)
+    a, b = dict.fromkeys(lexicon, 0), dict.fromkeys(lexicon, 0)
+    for r in met[~met.word.isin(clean.word)].itertuples():
+        for t in automaton.near(r.word):
+            a[t] += r.a
+            b[t] += r.b
+    chance = {t for t in lexicon if b[t] >= 2 and not tells(a[t], b[t])}
+    out = {f"{t}=" if t in chance else t: w for t, w in lexicon.items()}
+    automaton = Automaton(out)
+    return out | {f"{w}$": 0.0 for w in clean.word.head(KNOWN) if automaton.match(w)}
+
+
+def _chosen(terms: pd.DataFrame) -> dict[str, float]:
+    """The lexicon out of telling terms (term, a, weight, g2).
+
+    Whole words of FUZZY letters or more come in each for itself, and so does the longest stem of what the same texts
+    have: these match with an edit. Short stems are added for what else begins with them.
+    """
+    terms = terms.sort_values(["g2", "term"], ascending=[False, True]).head(4 * TERMS)
+    weight, texts = dict(zip(terms["term"], terms["weight"], strict=True)), dict(zip(terms["term"], terms["a"], strict=True))
+    # Stems that go on, by any letter, with nearly all of their texts.
+    goes_on = {t[:-1] for t in texts if t[-1] != "$" and texts[t] >= 0.9 * texts.get(t[:-1], math.inf)}
+    kept = {t for t in weight if len(t.rstrip("$")) >= FUZZY and (t[-1] == "$" or t not in goes_on)}
     # The shortest stem of a family first: it speaks for all that begins with it.
-    terms["letters"] = terms["term"].str.rstrip("$").str.len()
-    terms = terms.sort_values(["g2", "term"], ascending=[False, True]).head(4 * TERMS).sort_values(["letters", "term"])
-    for t in terms.itertuples():
-        plain = t.term.rstrip("$")
-        if not any(plain[:k] in out and out[plain[:k]] >= t.weight - 1 for k in range(SHORTEST, len(plain) + 1)):
-            out[t.term] = float(t.weight)
-            if len(out) == TERMS:
-                break
-    return out
+    stems: set[str] = set()
+    for t in sorted(weight, key=lambda t: (len(t.rstrip("$")), t)):
+        plain = t.rstrip("$")
+        if not any(plain[:k] in stems and weight[plain[:k]] >= weight[t] - 1 for k in range(SHORTEST, len(plain) + 1)):
+            stems.add(t)
+    return {t: float(w) for t, w in list((t, w) for t, w in weight.items() if t in kept or t in stems)[:TERMS]}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,6 +328,17 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray
     return mean, scale, w
 
 
+def _misspelt(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with exact hits come once more as if each hit had an edit: labels with few misspellings do not tell what one means."""
+    exact, near, best = (FEATURES.index(k) for k in ("exact", "near", "best"))
+    has = x[:, exact] > 0
+    more = x[has].copy()
+    more[:, near] = np.log1p(np.expm1(more[:, exact]) + np.expm1(more[:, near]))
+    more[:, exact] = 0
+    more[:, best] /= 2
+    return np.concatenate([x, more]), np.concatenate([y, y[has]])
+
+
 def _scored(df: DataFrame, lexicon: dict[str, float], text: Column, kind: str, finish) -> Column:
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -272,7 +367,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[d
     got = sample.select("toxic", _scored(sample, lexicon, F.col("text"), "array<double>", lambda x: pd.Series(list(x))).alias("x")).toPandas()
     if not len(got):
         return lexicon, (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1))
-    return lexicon, _fit(np.array(got["x"].tolist(), dtype=float), got["toxic"].to_numpy(float))
+    x, y = _misspelt(np.array(got["x"].tolist(), dtype=float), got["toxic"].to_numpy(float))
+    return lexicon, _fit(x, y)
 
 
 def score_column(df: DataFrame, model: tuple, text: Column) -> Column:

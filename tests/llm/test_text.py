@@ -130,6 +130,27 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.limit(5), labels.where("false"), held).count() == 5
 
 
+def test_learnt_terms_allow_an_edit(spark):
+    bad = "idiot moron stupid worthless pathetic clown disgusting trash".split()
+    fill = "stone river cloud maple table window garden yellow silver copper".split()
+    rnd = random.Random(1)
+    texts = [(" ".join([*rnd.sample(fill, 4), "crown" if not toxic and i % 3 == 0 else "", *(rnd.sample(bad, 3) if toxic else [])]), toxic) for i in range(400) for toxic in (0, 1)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
+    a = toxicity.Automaton(lexicon)
+    for w in bad:
+        assert a.match(w)[1]
+        for i in range(4):
+            for near in (w[:i] + w[i + 1 :], f"{w[:i]}q{w[i + 1 :]}", f"{w[:i]}q{w[i:]}"):
+                hit = a.match(near)
+                assert hit and (not hit[1] or near[:4] == w[:4]), near
+    assert a.match("crown") is None and not any(a.match(w) for w in fill)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, toxic int")
+    planted = spark.createDataFrame([(t,) for t in ("stone river cloud maple idot mron stpid", "stone river maple wrthless pthetic disgusting", "stone river cloud maple crown")], "text string")
+    got = [r.s for r in planted.select(toxicity.score_column(planted, toxicity.train(docs, labels), F.col("text")).alias("s")).collect()]
+    assert min(got[:2]) > 0.5 > got[2]
+
+
 # --- quality ---
 
 
