@@ -3,6 +3,10 @@
 Each validated value is permuted by a keyed Feistel network within its own format: digits stay digits, separators and
 case stay where they are, check digits are made right again, and dates stay dates. The permutation depends on the key
 and the kind of value only, so a value has the same pseudonym in every document, and no two values share one.
+
+Phone numbers are found as ten digits (3-3-4 with separators, or plain and not beginning with 0 or 1, after a 1 or not),
+with + and a country code, and with a leading 0 (five pairs, or an area code set apart). Nine digits without + or 0, as
+in Spain, read like a count and stay.
 """
 
 from __future__ import annotations
@@ -23,18 +27,25 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 
 _NUMBERS = re.compile(
-    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"(?<!\w)(?=[(+\dA-Fa-f]|[A-Z]{2}\d)(?:(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\4\d{4})(?![\w]|[./-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))"
     r"|(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w]|-\d))"
+    r"|(?P<abroad>\+[1-9](?:[ .-]?\d){0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){5,13}(?!\w))"
+    r"|(?P<trunk>(?<![.,/+-])(?:0[1-9](?:[ .-]?\d{2}){4}|(?:0[1-9]\d{1,3}[ /-]|\(0[1-9]\d{1,3}\) ?)(?:\d{6,8}|\d{3,4}[ -]\d{3,4}))(?![\w]|[.,/-]\d))"
+    r"|(?P<plain>(?<![.,/+-])1?[2-9]\d{9}(?![\w]|[ .,/-]\d))"
     r"|(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]|[ -]\d))"
-    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,128}(?!\w))"
+    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,}+(?!\w)))"
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _AROUND = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}")
 
 
+#: Country codes of telephone numbers have one, two or three digits.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
 class Feistel:
     """A keyed permutation of the numbers below ``size``: a Feistel network, walked until it is back in range."""
 
@@ -42,13 +53,14 @@ class Feistel:
         self.size = size
         self.half = max(1, ((size - 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
-        self.seeds = [hashlib.blake2b(f"{kind}:{size}:{i}".encode(), key=key, digest_size=32).digest() for i in range(ROUNDS)]
+        label = size if size.bit_length() <= 4096 else f"{size:x}"  # long decimals are slow to write
+        self.seeds = [hashlib.blake2b(f"{kind}:{label}:{i}".encode(), key=key, digest_size=32).digest() for i in range(ROUNDS)]
 
     def _round(self, seed: bytes, x: int) -> int:
         n = (self.half + 7) // 8
-        out = hashlib.blake2b(x.to_bytes(n, "big"), key=seed, digest_size=min(64, n)).digest()
-        while len(out) < n:
-            out += hashlib.blake2b(out, key=seed, digest_size=64).digest()
+        if n > 64:
+            return int.from_bytes(hashlib.shake_256(seed + x.to_bytes(n, "big")).digest(n), "big") & self.mask
+        out = hashlib.blake2b(x.to_bytes(n, "big"), key=seed, digest_size=n).digest()
         return int.from_bytes(out[:n], "big") & self.mask
 
     def __call__(self, x: int) -> int:
@@ -137,6 +149,22 @@ def _phone(key: bytes, v: str) -> str:
     return _fill(v, digits[:-10] + _digits(key, "phone", digits[-10:]))
 
 
+def _phone_from(key: bytes, v: str, head: int) -> str:
+    """All digits but the first ``head`` (country code, trunk 0) are permuted, as in the same number written otherwise."""
+    digits = re.sub(r"\D", "", v)
+    return _fill(v, digits[:head] + _digits(key, "phone", digits[head:]))
+
+
+def _abroad(key: bytes, v: str) -> str:
+    digits = re.sub(r"\D", "", v)
+    head = _COUNTRY.match(digits).end()
+    return _phone_from(key, v, head + ("(0" in v and digits[head] == "0"))
+
+
+def _trunk(key: bytes, v: str) -> str:
+    return _phone_from(key, v, 1)
+
+
 def _ip(key: bytes, v: str) -> str | None:
     parts = [int(x) for x in v.split(".")]
     if max(parts) > 255:
@@ -181,7 +209,9 @@ def _iban(key: bytes, v: str) -> str | None:
 
 
 def _secret(key: bytes, v: str) -> str:
-    return _in_base(key, "secret", v, "0123456789abcdef")
+    kind, size = "secret", 16 ** len(v)
+    n = (_permutation(key, kind, size) if len(v) <= 1024 else Feistel(key, kind, size))(int(v, 16))  # only short ones are worth keeping
+    return "".join(o.upper() if c.isupper() else o for c, o in zip(v, f"{n:0{len(v)}x}", strict=True))
 
 
 def _email(key: bytes, v: str) -> str:
@@ -189,7 +219,8 @@ def _email(key: bytes, v: str) -> str:
     return f"{_in_base(key, 'email', _in_base(key, 'email-digits', local, '0123456789'), 'abcdefghijklmnopqrstuvwxyz')}@{domain}"
 
 
-_MAKERS = {"iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "secret": _secret}
+_PHONES = ("abroad", "trunk", "plain")
+_MAKERS = {"iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "trunk": _trunk, "plain": _phone, "ip": _ip, "date": _date, "secret": _secret}
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
@@ -201,6 +232,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         new = _MAKERS[kind](key, m[0])
         if new is None:
             return m[0]
+        kind = "phone" if kind in _PHONES else kind
         counts[kind] = counts.get(kind, 0) + 1
         return new
 
@@ -208,11 +240,13 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         counts["email"] = counts.get("email", 0) + 1
         return _email(key, m[0])
 
-    parts, at = [], 0
-    if "@" in text:  # only what stands around an @ is looked at
-        for m in _AROUND.finditer(text):
-            parts += [_NUMBERS.sub(number, text[at : m.start()]), _EMAIL.sub(email, m[0])]
-            at = m.end()
+    parts, at, look = [], 0, 0
+    # Only what stands around an @ is looked at for e-mail; what is none is searched for numbers like the rest.
+    while "@" in text and (m := _AROUND.search(text, look)):
+        look = text.index("@", m.start()) + 1
+        if e := _EMAIL.search(m[0]):
+            parts += [_NUMBERS.sub(number, text[at : m.start() + e.start()]), email(e)]
+            at = look = m.start() + e.end()
     parts.append(_NUMBERS.sub(number, text[at:]))
     return "".join(parts), counts
 

@@ -213,6 +213,23 @@ def test_what_fails_its_check_stays(text):
     assert pii.pseudonymise(text, KEY) == (text, {})
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [(f"key {'0aF9' * n} end", "secret", "0aF9" * n) for n in (8, 32, 33, 64, 512, 2000)]
+    + [("root@10.0.0.1", "ip", "10.0.0.1"), ("555-123-4567@home", "phone", "555-123-4567"), ("a@b@carl@example.com x", "email", "carl@")]
+    + [(f"call {v}, or", "phone", v) for v in ("5551234567", "15551234567", "+44 20 7946 0958", "+442079460958", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "+33 6 12 34 56 78", "+49 (0)30 1234567", "030 1234567", "+34 612 345 678")],
+)
+def test_nothing_stays_in_the_clear(text, kind, value):
+    new, counts = pii.pseudonymise(text, KEY)
+    assert counts == {kind: 1} and value not in new and (kind == "ip" or len(new) == len(text))
+
+
+def test_phone_numbers_are_linked_across_forms():
+    tail = lambda v, n: re.sub(r"\D", "", pii.pseudonymise(v, KEY)[0])[-n:]
+    assert tail("+33 6 12 34 56 78", 9) == tail("0612345678", 9) and tail("+1 555 123 4567", 10) == tail("5551234567", 10)
+    assert pii.pseudonymise("3.1415926535 and 1700000000 and 12345678901234", KEY)[1] == {}
+
+
 def test_dates_stay_dates_and_apart():
     days = [f"{y}-{m:02}-15" for y in range(1990, 1996) for m in range(1, 13)]
     new = [pii.pseudonymise(d, KEY)[0] for d in days]
