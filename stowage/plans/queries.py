@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import fields as ff
@@ -282,10 +282,29 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIP = "SELECT source AS archive_id, lang || '/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, 416 AS mode, CAST(1700000000 AS BIGINT) AS secs FROM documents"
 
 
+#: Mean bytes and members of a block. A source of more is packed as several archives, far below the limits of a value and of ZIP.
+BLOCK_BYTES, BLOCK_MEMBERS = 32 << 20, 8_192
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an archive_id for each source and block; the number of blocks comes from sums for each source."""
+    rows = _documents(spark, sf_dir)
+    sums = rows.groupBy("archive_id").agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"), F.count("*").alias("members"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1))
+    sums = sums.select(F.col("archive_id").alias("__source"), blocks.alias("__blocks"))
+    joined = rows.join(sums, F.col("archive_id").eqNullSafe(F.col("__source")))
+    block = F.pmod(F.xxhash64("entry_index", "payload"), F.col("__blocks"))
+    return joined.withColumn("archive_id", F.to_json(F.struct(F.col("__source").alias("source"), block.alias("block")))).drop("__source", "__blocks")
+
+
+def _source() -> Column:
+    return F.get_json_object("archive_id", "$.source")
+
+
 def _trip(spark: SparkSession, sf_dir: str, fmt: str, codec: str | None) -> DataFrame:
-    packed = pack(_documents(spark, sf_dir), fmt, codec)
-    chunks = sa.payloads(packed)
-    return chunks.select("archive_id", "path", "size", ff.digest(F.col("payload")).alias("sha256"), "mode", F.col("mtime.secs").alias("secs"))
+    packed = pack(_blocked(spark, sf_dir), fmt, codec)
+    chunks = sa.payloads(packed, strict=True)
+    return chunks.select(_source().alias("archive_id"), "path", "size", ff.digest(F.col("payload")).alias("sha256"), "mode", F.col("mtime.secs").alias("secs"))
 
 
 def _round_trip(name: str, fmt: str, codec: str | None) -> None:
@@ -303,15 +322,17 @@ for _fmt, _codec in (("tar", None), ("tar", "gzip"), ("tar", "bzip2"), ("tar", "
 @_query("SELECT source AS archive_id, count(*) AS entry_count, CAST(sum(octet_length(encode(text))) AS BIGINT) AS payload_bytes FROM documents GROUP BY 1")
 def inspect_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List archives without touching payloads, and sum up."""
-    return oe.verify_report(sa.entries(pack(_documents(spark, sf_dir), "zip")))
+    each = oe.verify_report(sa.entries(pack(_blocked(spark, sf_dir), "zip"), strict=True))
+    return each.groupBy(_source().alias("archive_id")).agg(F.sum("entry_count").alias("entry_count"), F.sum("payload_bytes").alias("payload_bytes"))
 
 
 @_query("SELECT source AS archive_id, 'gzip' AS filter, true AS same_diff_id FROM documents GROUP BY 1")
 def layer_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of compressed layers and of what is in them; the latter equals that of the plain layer."""
-    plain = pack(_documents(spark, sf_dir), "tar").select(F.col("archive_id").alias("a"), ff.digest(F.col("content")).alias("plain"))
-    packed = sa.layer_digests(pack(_documents(spark, sf_dir), "tar", "gzip"))
-    return packed.join(plain, F.col("archive_id") == F.col("a")).select("archive_id", F.get("filters", F.lit(0)).alias("filter"), (F.col("diff_id") == F.col("plain")).alias("same_diff_id"))
+    plain = pack(_blocked(spark, sf_dir), "tar").select(F.col("archive_id").alias("a"), ff.digest(F.col("content")).alias("plain"))
+    packed = sa.layer_digests(pack(_blocked(spark, sf_dir), "tar", "gzip"))
+    each = packed.join(plain, F.col("archive_id") == F.col("a"), "left").select(_source().alias("archive_id"), F.get("filters", F.lit(0)).alias("filter"), F.coalesce(F.col("diff_id") == F.col("plain"), F.lit(False)).alias("same"))
+    return each.groupBy("archive_id", "filter").agg(F.bool_and("same").alias("same_diff_id"))
 
 
 @_query("SELECT source AS archive_id, format, filter FROM (SELECT DISTINCT source FROM documents), (VALUES ('tar', NULL), ('cpio', NULL), ('ar', NULL), ('zip', NULL), (NULL, 'gzip'), (NULL, 'bzip2'), (NULL, 'xz'), (NULL, 'lz4')) AS v(format, filter)")

@@ -104,11 +104,15 @@ def _number(name: str) -> Column:
     return F.coalesce(_record(name).cast("string"), _field(name).cast("string")).cast("long")
 
 
-def _decoded(raw: DataFrame, *more: str) -> DataFrame:
-    """Typed columns from raw fields, in steps so that no expression is written out many times over."""
+def _decoded(raw: DataFrame, *more: str, strict: bool = False) -> DataFrame:
+    """Typed columns from raw fields, in steps so that no expression is written out many times over.
+
+    With ``strict`` an archive that cannot be read to its end stops the query; without, its error is in ``errors``.
+    """
     fmt = F.col("format")
     is_tar, is_cpio, is_zip = fmt == "tar", fmt == "cpio", fmt == "zip"
-    rows = raw.where("error_kind IS NULL")
+    said = F.concat(F.lit("archive "), F.coalesce("archive_id", F.lit("null")), F.lit(": "), F.coalesce("error", F.col("error_kind")))
+    rows = raw.where(F.when(F.col("error_kind").isNull(), True).otherwise(F.raise_error(said).cast("boolean")) if strict else F.col("error_kind").isNull())
     head = F.col("zip_head")
     rows = rows.withColumn("zip_head", F.when(is_zip, _field("head")))
     rows = rows.withColumns(
@@ -153,14 +157,14 @@ def _decoded(raw: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def entries(archives: DataFrame, **options) -> DataFrame:
+def entries(archives: DataFrame, strict: bool = False, **options) -> DataFrame:
     """The entries of archives, without payloads (ZIP payloads are not even decoded)."""
-    return _decoded(raw_records(archives, False, **options))
+    return _decoded(raw_records(archives, False, **options), strict=strict)
 
 
-def payloads(archives: DataFrame, **options) -> DataFrame:
+def payloads(archives: DataFrame, strict: bool = False, **options) -> DataFrame:
     """Entries with payloads: one row per chunk (chunk_index, payload). ZIP members are checked against their CRC."""
-    made = _decoded(raw_records(archives, True, **options), "chunk_index", "payload")
+    made = _decoded(raw_records(archives, True, **options), "chunk_index", "payload", strict=strict)
     wrong = (F.col("format") == "zip") & (F.length("payload") == F.col("size")) & (F.crc32("payload") != F.col("crc"))
     return made.withColumn("payload", F.when(wrong, F.raise_error(F.concat(F.lit("Integrity: zip: CRC of "), F.col("path"))).cast("binary")).otherwise(F.col("payload")))
 

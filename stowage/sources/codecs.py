@@ -7,7 +7,7 @@ import lzma
 import struct
 import zlib
 
-FILTER_DEPTH, DECODED_TOTAL = 4, 1 << 30
+FILTER_DEPTH, DECODED_TOTAL = 4, 4 << 30
 
 
 class ArchiveError(Exception):

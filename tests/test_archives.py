@@ -253,3 +253,24 @@ def test_layers_files_and_decompression(spark, tmp_path):
     assert layer.digest == "sha256:" + hashlib.sha256(layer.content).hexdigest() and layer.diff_id == "sha256:" + hashlib.sha256(inner).hexdigest()
     out = sa.decompress(frame(spark, gzip.compress(bz2.compress(b"q")), b"plain")).orderBy("archive_id").collect()
     assert [(bytes(r.content), r.filters) for r in out] == [(b"q", ["gzip", "bzip2"]), (b"plain", [])]
+
+
+def test_hot_source_is_many_archives(spark, monkeypatch, tmp_path):
+    from stowage.plans import queries
+    from stowage.sources import archives, codecs, writers
+
+    rows = [(i, f"text {i}", "en", s, 0) for i, s in enumerate(["hot"] * 300 + ["cold", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "BLOCK_MEMBERS", 20)
+    packed = writers.pack(queries._blocked(spark, str(tmp_path)), "tar", "gzip")
+    assert packed.count() > 10 and codecs.DECODED_TOTAL == 4 << 30
+    want = {(s, f"en/{i}.txt", hashlib.sha256(t.encode()).hexdigest()) for i, t, _, s, _ in rows}
+    for name in ("round_trip_tar_gzip", "round_trip_zip"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {(r.archive_id, r.path, r.sha256) for r in got} == want
+    report = {r.archive_id: r.entry_count for r in queries.QUERIES["inspect_archives"](spark, str(tmp_path)).collect()}
+    assert report == {"hot": 300, "cold": 1, None: 1}
+    layers = queries.QUERIES["layer_digests"](spark, str(tmp_path)).collect()
+    assert len(layers) == 3 and all(r.same_diff_id for r in layers)
+    with pytest.raises(Exception, match="Limit|budget|archive"):
+        archives.payloads(packed, strict=True, total=100).collect()
