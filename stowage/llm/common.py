@@ -1,92 +1,95 @@
-"""What the training-data operators share: the folder for intermediate tables, row keys, byte tables."""
+"""What the training-data operators share: places of rows, dropping rows by place, batches for Python, byte tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.operators.tables import materialise, new_folder
+
 #: ASCII white space, as the contracts spell it.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_local_dirs: dict[str, str] = {}
-
+#: Bytes of an Arrow batch for Python. Rows of whole texts fill Spark's own bound (64 MB) in both JVM and Python.
+ARROW_BYTES = "4m"
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder; a cluster
-    without it is an error, since executors could not read each other's files.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    return _local_dirs[sc.applicationId]
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python gets by ARROW_BYTES, unless the session has a setting of its own."""
+    if spark.conf.get(_ARROW) in ("67108864", "67108864b"):
+        spark.conf.set(_ARROW, ARROW_BYTES)
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sampled(key: str, share: float) -> Column:
+def sampled(key: str, share: float | Column) -> Column:
     """True for about ``share`` of all keys, chosen by a hash, the same ones each time."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_locator(df: DataFrame, file_col: str = "__file", row_col: str = "__row") -> DataFrame:
-    """Add where each row is stored: file path and row number in the file.
+def _scan(df: DataFrame) -> bool:
+    """Whether each row is one row of a stored table: a scan under filters and projections, and nothing else.
+
+    Below anything that repeats or brings together rows (explode, join, union) a place does not tell rows apart.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def with_locator(df: DataFrame) -> DataFrame:
+    """(doc, __file, __row): each row as a struct, and where it is stored: file path and row number in the file.
 
     A table read from Parquet has both already. Anything else is written to the shared folder first, so that
-    the pair stays the same however often a task is repeated.
+    the pair stays the same however often a task is repeated. No column of ``df`` can clash with the pair.
     """
-    where = [F.col("_metadata.file_path").alias(file_col), F.col("_metadata.row_index").alias(row_col)]
-    try:
-        return df.select("*", *where)
-    except AnalysisException:
-        return materialise(df, "rows").select("*", *where)
+    parts = [F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    if _scan(df):
+        try:
+            return df.select(*parts)
+        except AnalysisException:  # other formats do not number their rows
+            pass
+    return materialise(df, "rows").select(*parts)
 
 
-#: Bitmaps of 4 KB for 32,768 rows each that are broadcast at most; beyond, rows are dropped by a shuffle join.
+#: Bitmaps of 4 KB for 32,768 rows each that are broadcast at a time; with more, files are taken some after the others.
 BITMAPS = 8_192
 
 
+def _kept(located: DataFrame, bits: DataFrame) -> DataFrame:
+    at = F.bitmap_bit_position(F.col("__row") + 1)  # counted from 1 there
+    joined = located.join(F.broadcast(bits), (F.col("__file") == F.col("__f")) & (F.bitmap_bucket_number(F.col("__row") + 1) == F.col("__b")), "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int")))
+    return joined.where(F.col("__bits").isNull() | (bit == 0)).select("doc.*")
+
+
 def without_rows(located: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``located`` (with __file, __row) without the rows whose places are in ``dropped`` (__file, __row).
+    """The rows of ``located`` (see :func:`with_locator`) whose places are not in ``dropped`` (__file, __row).
 
-    The places become a bit for each row, by file and 32,768 rows. Where these are few enough they go to all tasks,
-    and the texts are never shuffled.
+    The places become a bit for each row, by file and 32,768 rows, and go to all tasks; texts are never shuffled.
+    Where all bitmaps together are too many for one broadcast, the files are dealt into groups with few enough, and
+    each group is read (Spark prunes the other files), filtered and written before the next one's bitmaps are sent.
     """
-    row = F.col("__row") + 1  # counted from 1 there
+    row = F.col("__row") + 1
     bits = dropped.groupBy(F.col("__file").alias("__f"), F.bitmap_bucket_number(row).alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("__bits"))
     bits = materialise(bits, "dropped")
-    if bits.count() > BITMAPS:
-        gone = dropped.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"))
-        return located.join(gone, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")), "left_anti")
-    at = F.bitmap_bit_position(row)
-    joined = located.join(F.broadcast(bits), (F.col("__file") == F.col("__f")) & (F.bitmap_bucket_number(row) == F.col("__b")), "left")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int")))
-    return joined.where(F.col("__bits").isNull() | (bit == 0)).drop("__f", "__b", "__bits")
+    groups = -(-bits.count() // BITMAPS)
+    if groups <= 1:
+        return _kept(located, bits)
+    # By a hash; half as many more groups, since their sizes differ.
+    groups += -(-groups // 2)
+    spark, folder = located.sparkSession, new_folder(located.sparkSession, "kept")
+    for i in range(groups):
+        own = located.where(F.pmod(F.xxhash64("__file"), F.lit(groups)) == i)
+        _kept(own, bits.where(F.pmod(F.xxhash64("__f"), F.lit(groups)) == i)).write.mode("append").parquet(folder)
+    return spark.read.schema(located.select("doc.*").schema).parquet(folder)
 
 
 def power_table(base: int, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise
+from stowage.operators.tables import delete, materialise
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -48,5 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
     now = materialise(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _settled(now):
-        now = materialise(_round(now), "edges")
+        before, now = now, materialise(_round(now), "edges")
+        delete(now.sparkSession, before.stored_in)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,6 +2,10 @@
 
 Texts are scanned as arrays of bytes: words, the hashes of words and of windows come from running sums, a bitmap and
 a sorted set of hashes pick candidates, and each candidate's bytes are compared with the window before it counts.
+
+A benchmark beyond SMALL_WORDS words stays a table of windows, made and kept by Spark. Only the set of its hashes is
+broadcast then, as a bitmap of bounded size; what it picks in the one scan of the texts is joined with the windows by
+hash and bytes. Results are the same.
 """
 
 from __future__ import annotations
@@ -15,11 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, mix, power_table, with_locator
+from stowage.llm.common import bound_batches, mix, power_table, with_locator, without_rows
+from stowage.operators.tables import materialise
 
 WIDTH = 13
-#: Words of benchmark text that one broadcast holds; a larger benchmark is used block by block.
-BLOCK_WORDS = 400_000
+#: Words of benchmark text up to which the windows themselves are broadcast.
+SMALL_WORDS = 400_000
+#: The bitmap of a larger benchmark has 2 to these powers bits: at least, and at most (128 MB), 16 to 32 for each window
+#: in between. With more than 60 million windows it lets more than 1 in 18 windows of the texts through to the join.
+LEAST_BITS, MOST_BITS = 20, 30
 #: Bytes of text worked on at once.
 CHUNK = 1 << 18
 
@@ -160,6 +168,7 @@ _HITS = "n_words long, spans array<int>, places array<int>, items array<string>"
 
 
 def _hits(df: DataFrame, block: dict, text: Column) -> Column:
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(block)
 
     @F.pandas_udf(_HITS)
@@ -171,50 +180,99 @@ def _hits(df: DataFrame, block: dict, text: Column) -> Column:
     return of(text)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[dict]:
-    """The benchmark in blocks of at most BLOCK_WORDS words (one item at least), read one partition at a time."""
-    items: list[tuple[str, str | None]] = []
-    words = 0
-    for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).toLocalIterator():
-        n = len(text or "") // 2
-        if items and words + n > BLOCK_WORDS:
-            yield benchmark_block(items)
-            items, words = [], 0
-        items.append((item, text))
-        words += n
-    yield benchmark_block(items)
+def _keyed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash for a window and its width."""
+    return mix(hashes + np.uint64(width))
 
 
-def _merged(n_words: pd.Series, spans: pd.Series, places: pd.Series, items: pd.Series) -> pd.DataFrame:
-    def flat(lists) -> list[int]:
-        pairs = [(int(x[i]), int(x[i + 1])) for x in lists for i in range(0, len(x), 2)]
-        return [x for s in _merge(pairs) for x in s]
+def _window_table(benchmark: DataFrame) -> DataFrame:
+    """(hash, window, item) of all windows; benchmark has item, text."""
 
-    return pd.DataFrame({"n_words": n_words, "spans": [flat(x) for x in spans], "places": [flat(x) for x in places], "items": [sorted({i for y in x for i in y}) for x in items]})
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                scan = Scan([(text or "").encode("utf-8", "surrogatepass")])
+                width = min(WIDTH, len(scan.hash))
+                if width:
+                    firsts, h = scan.windows(width)
+                    yield pd.DataFrame({"hash": _keyed(h, width).view(np.int64), "window": [scan.words(i, width) for i in firsts.tolist()], "item": item})
 
+    return materialise(benchmark.mapInPandas(of, "hash long, window binary, item string").distinct(), "windows")
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", column: str = "__hits") -> DataFrame:
-    """``docs`` with a struct column: n_words, spans, places, items.
 
-    A benchmark that fits one broadcast takes a scan without any shuffle; a larger one takes one scan for each
-    block, whose hits are then brought together by row.
-    """
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    if len(blocks) == 1:
-        return docs.withColumn(column, _hits(docs, blocks[0], F.col(text_col)))
-    located = with_locator(docs)
-    parts = None
-    for block in blocks:
-        part = located.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"), _hits(docs, block, F.col(text_col)).alias("h"))
-        parts = part if parts is None else parts.union(part)
-    gathered = parts.groupBy("__f", "__r").agg(
-        F.first("h.n_words").alias("n"), F.collect_list("h.spans").alias("s"), F.collect_list("h.places").alias("p"), F.collect_list("h.items").alias("i")
-    )
-    gathered = materialise(gathered.select("__f", "__r", F.pandas_udf(_merged, _HITS)("n", "s", "p", "i").alias(column)), "hits")
-    found = located.join(gathered, (located["__file"] == gathered["__f"]) & (located["__row"] == gathered["__r"]))
-    return found.select(*docs.columns, column)
+_CANDIDATES = "n_words long, candidates array<struct<first: int, width: int, start: int, stop: int, hash: bigint, window: binary>>"
+
+
+def _candidates(df: DataFrame, windows: DataFrame, text: Column) -> Column:
+    """Number of words of a text, and its windows whose hash is in the bitmap of ``windows``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * windows.count()).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits) + 1  # counted from 1
+    rows = windows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows.toLocalIterator():  # a fixed number of 4 KB rows
+        whole[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bitmap, dtype=np.uint8)
+    bound_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(whole)
+
+    def of_text(text: str | None) -> tuple[int, list[tuple]]:
+        scan = Scan([(text or "").encode("utf-8", "surrogatepass")])
+        found = []
+        for width in range(1, WIDTH + 1):
+            firsts, h = scan.windows(width)
+            h = _keyed(h, width)
+            at = h >> np.uint64(64 - bits)
+            near = np.flatnonzero(shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            for k, i in zip(near.tolist(), firsts[near].tolist(), strict=True):
+                found.append((i, width, int(scan.start[i]), int(scan.end[i + width - 1]), int(h[k].view(np.int64)), scan.words(i, width)))
+        return len(scan.hash), found
+
+    @F.pandas_udf(_CANDIDATES)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([of_text(t) for t in s], columns=["n_words", "candidates"])
+
+    return of(text)
 
 
+def _merged(hits: pd.Series) -> pd.DataFrame:
+    """Spans and places out of hits (first, width, start, stop) of each text."""
+    spans, places = [], []
+    for row in hits:
+        row = sorted((h["first"], h["first"] + h["width"], h["start"], h["stop"]) for h in row)
+        own: list[list[int]] = []
+        for a, b, start, stop in row:
+            if own and a <= own[-1][1]:
+                if b > own[-1][1]:
+                    own[-1][1], own[-1][3] = b, stop
+            else:
+                own.append([a, b, start, stop])
+        spans.append([x for a, b, _, _ in own for x in (a, b)])
+        places.append([x for _, _, a, b in own for x in (a, b)])
+    return pd.DataFrame({"spans": spans, "places": places})
+
+
+def _joined(located: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(doc_id, __file, __row, hits) of a large benchmark; only candidates are shuffled, never texts."""
+    windows = _window_table(benchmark)
+    rows = located.select("doc.doc_id", "__file", "__row", _candidates(located, windows, F.col("doc").getField(text_col)).alias("c"))
+    rows = materialise(rows.select("doc_id", "__file", "__row", "c.n_words", "c.candidates"), "candidates")
+    each = rows.where(F.size("candidates") > 0).select(F.col("__file").alias("f"), F.col("__row").alias("r"), F.explode("candidates").alias("x")).select("f", "r", "x.*")
+    real = each.join(windows, ["hash", "window"]).groupBy("f", "r")
+    real = real.agg(F.collect_set(F.struct("first", "width", "start", "stop")).alias("h"), F.array_sort(F.collect_set("item")).alias("items"))
+    real = real.select("f", "r", "items", F.pandas_udf(_merged, "spans array<int>, places array<int>")("h").alias("m"))
+    found = rows.drop("candidates").join(real, (F.col("__file") == F.col("f")) & (F.col("__row") == F.col("r")), "left")
+    none = F.array().cast("array<int>")
+    hits = F.struct("n_words", F.coalesce("m.spans", none).alias("spans"), F.coalesce("m.places", none).alias("places"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return found.select("doc_id", "__file", "__row", hits.alias("hits"))
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict | None]:
+    """(item, text), and all windows if these are few enough; a null id counts as empty text."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    # A word and what parts it from the next take two characters at least; an item without text still takes a place.
+    words = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) / 2 + 1)).first()[0] or 0
+    return items, benchmark_block([tuple(r) for r in items.collect()]) if words <= SMALL_WORDS else None
+
 
 def _measures(hits: str) -> dict[str, Column]:
     spans = F.col(f"{hits}.spans")
@@ -229,29 +287,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is 13 consecutive words of an item, or all of an item that has fewer; items without words (null,
     empty) have none. A document word within any occurrence of a window is hit. contaminated: at least one word
-    and a twentieth of the words are hit. Null texts have no words. Repeated rows are judged each for itself.
+    and a twentieth of the words are hit. Null texts have no words; texts are read whole. Repeated rows are judged each
+    for itself, items with equal windows all count, other columns play no part; no rows give no rows, no items no hits.
     """
-    found = with_hits(docs.select("doc_id", "text"), benchmark)
-    m = _measures("__hits")
-    items = F.col("__hits.items")
+    docs = docs.select("doc_id", "text")
+    items, block = _items(benchmark, "item_id", "text")
+    if block is None:
+        found = _joined(with_locator(docs), items, "text")
+    else:
+        found = docs.select("doc_id", _hits(docs, block, F.col("text")).alias("hits"))
+    m = _measures("hits")
+    own = F.col("hits.items")
     return found.select(
-        "doc_id", m["n_words"].alias("n_words"), m["n_hit"].alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), m["contaminated"].alias("contaminated")
+        "doc_id", m["n_words"].alias("n_words"), m["n_hit"].alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), m["contaminated"].alias("contaminated")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows, all columns as they were."""
-    return with_hits(docs, benchmark).where(~_measures("__hits")["contaminated"]).select(*docs.columns)
+    """``docs`` without contaminated rows (see :func:`decontaminate`), all columns as they were, whatever their names.
+
+    Python sees the texts alone: rows are dropped by place. Null and empty texts stay; no rows give no rows.
+    """
+    located = with_locator(docs)
+    items, block = _items(benchmark, "item_id", "text")
+    if block is None:
+        found = _joined(located, items, "text")
+    else:
+        found = located.select("__file", "__row", _hits(located, block, F.col("doc.text")).alias("hits"))
+    return without_rows(located, found.where(_measures("hits")["contaminated"]).select("__file", "__row"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every hit passage cut out of the text (from the first letter of its first word to the last of its last)."""
-    places = F.col("__hits.places")
-    data = F.col(text_col).cast("binary")
+    """``docs`` with every hit passage cut out of the text (from the first letter of its first word to the last of its last).
+
+    Texts without a hit stay byte for byte, null texts null; all other columns stay as they were, whatever their
+    names. ``docs`` has doc_id. With a large benchmark, hits and texts are joined by place.
+    """
+    items, block = _items(benchmark, "item_id", "text")
+    if block is None:
+        located = with_locator(docs)
+        hits = _joined(located, items, text_col).select(F.col("__file").alias("f"), F.col("__row").alias("r"), "hits")
+        found = located.join(hits, (F.col("__file") == F.col("f")) & (F.col("__row") == F.col("r"))).select("doc", "hits")
+    else:
+        found = docs.select(F.struct("*").alias("doc"), _hits(docs, block, F.col(text_col)).alias("hits"))
+    text, places = F.col("doc").getField(text_col), F.col("hits.places")
     # The parts to keep: from the end of one passage (or the start) to the start of the next (or the end).
-    edges = F.concat(F.array(F.lit(0)), places, F.array(F.octet_length(text_col)))
+    edges = F.concat(F.array(F.lit(0)), places, F.array(F.octet_length(text)))
     kept = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1, F.lit(2)), lambda i: F.substring(data, F.element_at(edges, i) + 1, F.element_at(edges, i + 1) - F.element_at(edges, i)).cast("string")
+        F.sequence(F.lit(1), F.size(edges) - 1, F.lit(2)), lambda i: F.substring(text.cast("binary"), F.element_at(edges, i) + 1, F.element_at(edges, i + 1) - F.element_at(edges, i)).cast("string")
     )
-    found = with_hits(docs, benchmark, text_col)
-    return found.withColumn(text_col, F.when(F.size(places) > 0, F.array_join(kept, "")).otherwise(F.col(text_col))).select(*docs.columns)
+    cut = F.when(F.size(places) > 0, F.array_join(kept, "")).otherwise(text)
+    return found.select(*(cut.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))

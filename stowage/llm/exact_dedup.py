@@ -9,20 +9,23 @@ Should digests ever collide, the groups concerned are told apart by their bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WHITE, materialise, new_folder, with_locator, without_rows
+from stowage.llm.common import WHITE, with_locator, without_rows
+from stowage.operators.tables import exists, materialise, new_folder
 
 #: State on disk, with bounded memory for all stores of an executor together.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     # No disk space set aside in advance: with many small stores that alone is megabytes for each.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -55,15 +58,20 @@ def stateful(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
 
 
-def run_stream(digests: DataFrame, folder: str, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
-    """Stream a stored table of digests through the state; the last state of each digest.
+def run_stream(digests: DataFrame, folder: str, bytes_per_batch: int = BATCH_BYTES, load: str = "0") -> DataFrame:
+    """Stream a table of digests through the state kept under ``folder``; the last state of each digest.
 
-    Each micro-batch writes the digests whose state it changed; a batch that is repeated after a failure writes
-    the same folder again. Checkpoint and state lie under ``folder``, so an interrupted run goes on from there.
+    The table is stored under the name ``load`` first, once: a load that is there whole is not stored or counted again,
+    so a call that was interrupted is simply repeated and goes on from its checkpoint, and a call with another name
+    adds its rows to the state. Each micro-batch writes the digests whose state it changed; one that is repeated after
+    a failure writes the same folder again.
     """
+    if not re.fullmatch(r"\w+", load):
+        raise ValueError("load must consist of letters and digits")
     spark = digests.sparkSession
-    digests.write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(digests.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{folder}/in")
+    if not exists(spark, f"{folder}/in/load-{load}/_SUCCESS"):
+        digests.write.mode("overwrite").parquet(f"{folder}/in/load-{load}")
+    stream = spark.readStream.schema(digests.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{folder}/in/*")
     with _settings(spark, STATE_STORE):
         query = (
             stateful(stream)
@@ -76,24 +84,32 @@ def run_stream(digests: DataFrame, folder: str, bytes_per_batch: int = BATCH_BYT
         query.awaitTermination()
     schema = "digest string, first struct<none: boolean, doc_id: {}, __file: string, __row: bigint>, n bigint, batch int"
     kind = dict(digests.dtypes)["doc_id"]
-    try:
-        out = spark.read.schema(schema.format(kind)).parquet(f"{folder}/out")
-        # Each later state of a digest counts more rows, so the largest count is the last state.
-        return out.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "n").alias("s")).select("digest", "s.first", "s.n")
-    except Exception as e:  # an empty table makes no batch and so no folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, f"{folder}/out"):  # an empty table makes no batch
         return spark.createDataFrame([], schema.format(kind)).drop("batch")
+    out = spark.read.schema(schema.format(kind)).parquet(f"{folder}/out")
+    # Each later state of a digest counts more rows, so the largest count is the last state.
+    return out.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "n").alias("s")).select("digest", "s.first", "s.n")
+
+
+def _earlier(state: DataFrame, rows: DataFrame, text_col: str) -> DataFrame | None:
+    """doc_id, text, __file, __row of the rows of earlier loads that hits refer to, read where the state says they are."""
+    own = rows.select("__file").distinct()
+    there = materialise(state.where("n > 1").select("first.doc_id", F.col("first.__file").alias("__file"), F.col("first.__row").alias("__row")).join(own, "__file", "left_anti"), "earlier")
+    files = [r[0] for r in there.select("__file").distinct().collect()]  # names of stored files
+    if not files:
+        return None
+    read = state.sparkSession.read.parquet(*files).select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return there.join(read, ["__file", "__row"]).select("doc_id", "text", "__file", "__row")
 
 
-def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_batch: int) -> DataFrame:
+def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_batch: int, state_dir: str | None, load: str, text_col: str) -> DataFrame:
     """src: doc_id, text, __file, __row."""
     spark = src.sparkSession
-    folder = new_folder(spark, "exact-dedup")
+    folder = state_dir or new_folder(spark, "exact-dedup")
     sha = F.sha2(normalised(F.col("text")), 256)
     rows = src.select("doc_id", sha.alias("sha"), "__file", "__row").withColumn("digest", digest_of(F.col("sha")))
-    state = run_stream(rows, folder, bytes_per_batch)
-    rows = spark.read.schema(rows.schema).parquet(f"{folder}/in")
+    state = run_stream(rows, folder, bytes_per_batch, load)
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/in/load-{load}")
     state = materialise(state, "state")
     out = rows.withColumnRenamed("digest", "d").join(state, F.col("d") == state.digest).drop("digest").withColumnRenamed("d", "digest")
 
@@ -101,7 +117,10 @@ def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_b
     hits = state.where("n > 1").select(F.xxhash64("digest").alias("hit"))
     repeated = hits.count()
     if repeated:
-        texts = src.select("doc_id", "__file", "__row", normalised(F.col("text")).alias("norm"))
+        texts = src.select("doc_id", "text", "__file", "__row", F.lit(True).alias("own"))
+        if state_dir and (before := _earlier(state, rows, text_col)) is not None:
+            texts = texts.unionByName(before.withColumn("own", F.lit(False)))
+        texts = texts.select("doc_id", "__file", "__row", "own", normalised(F.col("text")).alias("norm"))
         texts = texts.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", digest_of(F.col("sha")))
         picked = F.broadcast(hits) if repeated <= BROADCAST_DIGESTS else hits
         texts = texts.join(picked, F.xxhash64("digest") == F.col("hit"), "left_semi")
@@ -111,7 +130,7 @@ def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_b
             first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")).alias("first")
             mixed = texts.join(unlike, "digest", "left_semi")
             groups = mixed.groupBy(F.col("norm").alias("_n")).agg(first, F.count(F.lit(1)).alias("n"))
-            parted = mixed.join(groups, F.col("norm") == F.col("_n")).select("doc_id", "sha", "__file", "__row", "digest", "first", "n")
+            parted = mixed.where("own").join(groups, F.col("norm") == F.col("_n")).select("doc_id", "sha", "__file", "__row", "digest", "first", "n")
             out = out.join(unlike, "digest", "left_anti").unionByName(parted)
     stays = (F.col("first.__file") == F.col("__file")) & (F.col("first.__row") == F.col("__row"))
     return out.select(
@@ -120,7 +139,13 @@ def _classify(src: DataFrame, digest_of: Callable[[Column], Column], bytes_per_b
 
 
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_of: Callable[[Column], Column] = lambda sha: sha, bytes_per_batch: int = BATCH_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest_of: Callable[[Column], Column] = lambda sha: sha,
+    bytes_per_batch: int = BATCH_BYTES,
+    state_dir: str | None = None,
+    load: str = "0",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -128,13 +153,22 @@ def exact_duplicates(
     empty. Of equal texts the row with the least id stays (null ids last; among repeats of an id the first
     stored); exactly one row of a group has kept true. ``digest_of`` shortens the SHA-256 that keys the state:
     results stay the same, collisions only cost time. Other columns play no part; no rows give no rows.
+
+    With ``state_dir`` the state outlives the call, and later calls with other names ``load`` go on from it (ids of one
+    type, texts in a Parquet column of one name that stays where it is: the state holds where each text is, and
+    hits are compared with it there). Rows then are held against all loads so far: group_size counts those of
+    earlier loads too, and no row is kept if the row that stays came earlier. Repeating a load changes nothing.
     """
-    src = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return _classify(src, digest_of, bytes_per_batch).drop("__file", "__row")
+    located = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    src = located.select("doc.doc_id", "doc.text", "__file", "__row")
+    return _classify(src, digest_of, bytes_per_batch, state_dir, load, text_col).drop("__file", "__row")
+
 
+def drop_exact_duplicates(docs: DataFrame, state_dir: str | None = None, load: str = "0") -> DataFrame:
+    """``docs`` without the rows that are not kept, all columns as they were, whatever their names.
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are not kept, all columns as they were."""
+    Null texts count as empty and are copies of each other; of repeated rows one stays; no rows give no rows.
+    """
     located = with_locator(docs)
-    found = _classify(located.select("doc_id", "text", "__file", "__row"), lambda sha: sha, BATCH_BYTES)
-    return without_rows(located, found.where("NOT kept").select("__file", "__row")).select(*docs.columns)
+    found = _classify(located.select("doc.doc_id", "doc.text", "__file", "__row"), lambda sha: sha, BATCH_BYTES, state_dir, load, "text")
+    return without_rows(located, found.where("NOT kept").select("__file", "__row"))

@@ -1,6 +1,6 @@
 """Best-fit packing with conflicts.
 
-Rows are dealt into packing groups of bounded size by a hash of where they are stored. Within a group pieces are
+Rows are dealt into packing groups of bounded size by a hash of what they hold. Within a group pieces are
 placed longest first. Open bins are ordered by what room they have left and carry bitmaps of their sources and
 duplicate clusters; two pieces of one source or one cluster never share a bin. The search starts at the tightest
 room that fits and goes on to the next until a bin without a conflict is found; a tree over the rooms holds what
@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WHITE, materialise, with_locator
+from stowage.llm.common import WHITE, bound_batches
+from stowage.operators.tables import materialise
 
 #: Words of a bin, one for the end of each piece included.
 CAPACITY = 2048
 #: Rows of a packing group, about.
 GROUP_ROWS = 20_000
+#: Repeats of a row that are numbered at a time.
+REPEATS = 4_096
 #: Clusters with more rows than this in a group take part in the tree.
 LARGE_CLUSTER = 32
 
@@ -106,8 +109,8 @@ class Bins:
 
 
 def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Place the rows of one group (doc_id, source, cluster, n_words, file and row numbers that order them)."""
-    rows = rows.sort_values(["n_words", "file", "row"], ascending=[False, True, True], kind="stable")
+    """Place the rows of one group (doc_id, source, cluster, n_words, and order, nth that tell ties apart)."""
+    rows = rows.sort_values(["n_words", "order", "nth"], ascending=[False, True, True], kind="stable")
     copies = Counter(rows["cluster"])
     bits: dict[object, int] = {}
     small_bits: dict[object, int] = {}
@@ -134,30 +137,51 @@ def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return at
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, n_words: Column | None = None, cluster: Column | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    n_words: Column | None = None,
+    cluster: Column | None = None,
+    clusters: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """One row per piece: doc_id, piece, first_word, n_words, bin_id, bin_offset.
 
     A row longer than ``capacity`` - 1 words is cut into pieces of that many; each piece costs a word more, for its
     end. bin_offset is where in its bin a piece starts. Rows without words (null, empty, blank) give one piece of no
-    words. Null sources count as one source. ``n_words``: the length of a row, words of the text by default;
-    ``cluster``: its duplicate cluster, by default a hash of the text with white space made even, so that equal
-    texts are one cluster. Repeated rows are packed each for itself. An empty table gives an empty result.
+    words. Null sources count as one source. ``n_words``: the length of a row, words of the text by default.
+
+    A row's duplicate cluster is by default a hash of the text with white space made even, so that equal texts are one
+    cluster; or an expression ``cluster``; or what ``clusters`` says (doc_id, cluster), as it comes from a
+    deduplication: ``near_duplicates(docs).select("doc_id", F.col("component_id").alias("cluster"))``. There rows of one
+    doc_id have one cluster, and those without one count as their own.
+
+    Bins depend on the rows alone (id, source, cluster, length), not on where these are stored or in which order.
+    Rows equal in all of these are told apart by a number, so repeated rows are packed each for itself. Other columns
+    play no part. An empty table gives an empty result.
     """
     if capacity < 2:
         raise ValueError("capacity must be at least 2")
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    src = with_locator(docs.select("doc_id", "text", "source"))
-    rows = src.select(
+    rows = docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         (F.xxhash64(F.regexp_replace(text, WHITE, " ")) if cluster is None else cluster).cast("string").alias("cluster"),
         (F.regexp_count(text, F.lit(_WORD)) if n_words is None else n_words).cast("long").alias("n_words"),
-        F.xxhash64("__file").alias("file"),
-        F.col("__row").alias("row"),
     )
-    rows = materialise(rows, "lengths")
-    groups = max(1, -(-rows.count() // group_rows))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("file", "row"), F.lit(groups)).cast("int"))
+    if clusters is not None:
+        own = clusters.groupBy(F.col("doc_id").alias("_id")).agg(F.min("cluster").cast("string").alias("_c"))
+        rows = rows.join(own, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", F.coalesce("_c", F.concat(F.lit("="), "cluster")).alias("cluster"), "n_words")
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "source", "cluster", "n_words"))
+    # A row that is there many times arrives here as few rows, and is numbered some thousand at a time.
+    counted = materialise(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    groups = max(1, -(-total // group_rows))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).cast("long"), F.lit(REPEATS).cast("long"))).alias("least")
+    numbered = counted.select(*rows.columns, "copies", block)
+    numbered = numbered.select(*rows.columns, F.explode(F.sequence(F.col("least"), F.least(F.col("least") + REPEATS, "copies") - 1)).alias("nth"))
+    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("order", "nth"), F.lit(groups)).cast("int"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def one(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:

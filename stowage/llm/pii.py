@@ -6,7 +6,8 @@ and the kind of value only, so a value has the same pseudonym in every document,
 
 Phone numbers are found as ten digits (3-3-4 with separators, or plain and not beginning with 0 or 1, after a 1 or not),
 with + and a country code, and with a leading 0 (five pairs, or an area code set apart). Nine digits without + or 0, as
-in Spain, read like a count and stay.
+in Spain, read like a count and stay. Secrets are runs of 32 or more hexadecimal digits, tokens that begin as those of
+common services do, and private keys in PEM form. E-mail addresses keep their domain.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import bound_batches
+
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 
-_NUMBERS = re.compile(
-    r"(?<!\w)(?=[(+\dA-Fa-f]|[A-Z]{2}\d)(?:(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+_START = r"(?<!\w)(?=[(+\dA-Fa-f]|[A-Z]{2}\d)"
+_SHAPES = (
+    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\4\d{4})(?![\w]|[./-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))"
@@ -35,13 +39,23 @@ _NUMBERS = re.compile(
     r"|(?P<abroad>\+[1-9](?:[ .-]?\d){0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){5,13}(?!\w))"
     r"|(?P<trunk>(?<![.,/+-])(?:0[1-9](?:[ .-]?\d{2}){4}|(?:0[1-9]\d{1,3}[ /-]|\(0[1-9]\d{1,3}\) ?)(?:\d{6,8}|\d{3,4}[ -]\d{3,4}))(?![\w]|[.,/-]\d))"
     r"|(?P<plain>(?<![.,/+-])1?[2-9]\d{9}(?![\w]|[ .,/-]\d))"
-    r"|(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]|[ -]\d))"
-    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,}+(?!\w)))"
+    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,}+(?!\w))"
 )
+_OTHERS = re.compile(f"{_START}(?:{_SHAPES})")
+#: A run of digits may hold several cards, or a card beside other numbers.
+_NUMBERS = re.compile(_START + "(?:" + _SHAPES + r"|(?P<digits>\d(?:[ -]?\d){12,}+(?!\w)))")
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _AROUND = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}")
 
 
+#: What the tokens of common services, web tokens and private keys have in them, and their shapes.
+_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "k_live_", "xox", "AIza", "eyJ", "PRIVATE KEY")
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9])(?:((?:AKIA|ASIA))[A-Z0-9]{16}|(gh[pousr]_)[A-Za-z0-9]{36,255}|(github_pat_)\w{22,255}|(glpat-)[\w-]{20,255}|(sk-)(?=[A-Za-z_-]{0,255}\d)[A-Za-z0-9_-]{20,255}"
+    r"|([sr]k_live_)[A-Za-z0-9]{16,255}|(xox[abps]-)[A-Za-z0-9-]{10,255}|(AIza)[\w-]{35}|(eyJ)[\w-]{8,}+\.eyJ[\w-]{4,}+\.[\w-]*+)(?![A-Za-z0-9])"
+    r"|(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)[^-]*+(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+)
+
 #: Country codes of telephone numbers have one, two or three digits.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
@@ -131,6 +145,26 @@ def _card(key: bytes, v: str) -> str | None:
     return _fill(v, body + str(-luhn(body + "0") % 10))
 
 
+def _cards(run: str) -> Iterator[tuple[int, int]]:
+    """Where the cards in a run of digits are: groups that together have 13 to 19 digits (16 first) and hold the Luhn rule."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    i = 0
+    while i < len(groups):
+        n, found = 0, {}
+        for k in range(i, min(len(groups), i + 19)):
+            n += groups[k][1] - groups[k][0]
+            if n > 19:
+                break
+            if n >= 13 and luhn(re.sub(r"\D", "", run[groups[i][0] : groups[k][1]])) % 10 == 0:
+                found[n] = k
+        if not found:
+            i += 1
+            continue
+        last = found[min(found, key=lambda n: (n != 16, n))]
+        yield groups[i][0], groups[last][1]
+        i = last + 1
+
+
 def _ssn_valid(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -214,6 +248,13 @@ def _secret(key: bytes, v: str) -> str:
     return "".join(o.upper() if c.isupper() else o for c, o in zip(v, f"{n:0{len(v)}x}", strict=True))
 
 
+def _token(key: bytes, m: re.Match[str]) -> str:
+    """What follows the mark, letter for letter and digit for digit, some at a time."""
+    mark, body = m[m.lastindex], m[0][len(m[m.lastindex]) :]
+    parts = (body[i : i + 256] for i in range(0, len(body), 256))
+    return mark + "".join(_in_base(key, "token", _in_base(key, "token-digits", p, "0123456789"), "abcdefghijklmnopqrstuvwxyz") for p in parts)
+
+
 def _email(key: bytes, v: str) -> str:
     local, _, domain = v.rpartition("@")
     return f"{_in_base(key, 'email', _in_base(key, 'email-digits', local, '0123456789'), 'abcdefghijklmnopqrstuvwxyz')}@{domain}"
@@ -240,25 +281,49 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         counts["email"] = counts.get("email", 0) + 1
         return _email(key, m[0])
 
+    def digits(m: re.Match[str]) -> str:
+        if m.lastgroup != "digits":
+            return number(m)
+        out, at = [], 0
+        for start, end in _cards(m[0]):
+            counts["card"] = counts.get("card", 0) + 1
+            out += [_OTHERS.sub(number, m[0][at:start]), _card(key, m[0][start:end])]
+            at = end
+        return "".join([*out, _OTHERS.sub(number, m[0][at:])])
+
+    def plain(part: str) -> str:
+        out, at = [], 0
+        for m in _TOKEN.finditer(part) if any(mark in part for mark in _MARKS) else ():
+            counts["secret"] = counts.get("secret", 0) + 1
+            out += [_NUMBERS.sub(digits, part[at : m.start()]), _token(key, m)]
+            at = m.end()
+        return "".join([*out, _NUMBERS.sub(digits, part[at:])])
+
     parts, at, look = [], 0, 0
     # Only what stands around an @ is looked at for e-mail; what is none is searched for numbers like the rest.
     while "@" in text and (m := _AROUND.search(text, look)):
         look = text.index("@", m.start()) + 1
         if e := _EMAIL.search(m[0]):
-            parts += [_NUMBERS.sub(number, text[at : m.start() + e.start()]), email(e)]
+            parts += [plain(text[at : m.start() + e.start()]), email(e)]
             at = look = m.start() + e.end()
-    parts.append(_NUMBERS.sub(number, text[at:]))
+    parts.append(plain(text[at:]))
     return "".join(parts), counts
 
 
 def redact(docs: DataFrame, key: bytes, text_col: str = "text", column: str = "pii") -> DataFrame:
     """``docs`` with a struct column: text (pseudonymised) and one count for each kind of value.
 
-    Null texts stay null with counts of 0. Numbers that fail their check (Luhn, IBAN, calendar, octets) stay as they
-    are; so do texts without any value. ``key``: 16 to 64 secret bytes.
+    Null texts stay null with counts of 0, empty ones empty. Numbers that fail their check (Luhn, IBAN, calendar,
+    octets) stay as they are; so do texts without any value. Long texts are read whole, repeated rows changed alike, no
+    rows give no rows. Other columns stay as they were: if one is named ``column``, the new one gets underscores
+    behind its name until it is free. ``key``: 16 to 64 secret bytes.
     """
     if not 16 <= len(key) <= 64:
         raise ValueError("key must have 16 to 64 bytes")
+    bound_batches(docs.sparkSession)
+    taken = {c.lower() for c in docs.columns}
+    while column.lower() in taken:
+        column += "_"
 
     @F.pandas_udf("text string, " + ", ".join(f"n_{k} int" for k in KINDS))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

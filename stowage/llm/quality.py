@@ -7,6 +7,7 @@ replacement, with probability in proportion to importance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, sampled, with_locator
+from stowage.llm.common import bound_batches, sampled, with_locator
 from stowage.llm.decontaminate import CHUNK, Scan
+from stowage.operators.tables import materialise
 
 DIM = 1 << 14
 #: About so many target rows, chosen by a hash of the id, make the target model; the raw model takes all rows.
@@ -87,11 +89,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     if k < 1 or n < k:
         return None
     above = 0
-    while low < high and n > FETCH:
+    while low < high:
         width = (high - low) / CELLS
-        if low + width == low:
-            break
-        cell = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(CELLS - 1)).cast("int")
+        if low + width <= low or not width < math.inf:
+            # Too few numbers lie between to make cells, or too far apart: halves, down to a single value.
+            middle = low / 2 + high / 2
+            cell = F.when(F.col(column) > F.lit(middle), 1).otherwise(0) if low < middle < high else F.when(F.col(column) == F.lit(high), 1).otherwise(0)
+        else:
+            cell = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(CELLS - 1)).cast("int")
         inside = df.where(F.col(column).between(low, high)).groupBy(cell.alias("cell"))
         cells = inside.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
         for c in sorted(cells, key=lambda c: -c.cell):
@@ -99,19 +104,22 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
                 low, high, n = c.low, c.high, c.n
                 break
             above += c.n
-    if low == high:
-        return low
-    values = df.where(F.col(column).between(low, high)).select(column).orderBy(F.desc(column)).limit(FETCH + 1).collect()
-    return values[min(k - above, len(values)) - 1][0]
+        if n <= FETCH:
+            values = df.where(F.col(column).between(low, high)).select(column).orderBy(F.desc(column)).collect()  # n rows
+            return values[k - above - 1][0]
+    return low
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_ratio, key, selected.
 
     target_ids: column doc_id. The share ``fraction`` of the rows (rounded up) with the largest keys is selected;
-    keys that tie with the last are selected too. Noise comes from seed, id and place in the file. Texts without
-    words (null, empty) have log ratio 0. Without target rows all log ratios only show how common words are.
+    keys that tie with the last are selected too. Noise comes from seed, id, name of the file and place in it, so that
+    a copy of the table elsewhere gives the same and repeated rows are drawn each for itself. Texts without
+    words (null, empty) have log ratio 0; long texts count whole. Without target rows all log ratios only show how
+    common words are. Other columns play no part; no rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     ids = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
     share = min(1.0, target_rows / max(1, ids.count()))
     picked = ids.where(sampled("doc_id", share))
@@ -119,8 +127,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION,
     target = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
     weights = model(target) - model(docs)
     src = with_locator(docs.select("doc_id", "text"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "__row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    scored = src.select("doc_id", _log_ratio(src, weights, F.col("text")).alias("r"), (-F.log(-F.log(u))).alias("noise"))
+    name = F.substring_index("__file", "/", -1)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc.doc_id", name, "__row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    scored = src.select("doc.doc_id", _log_ratio(src, weights, F.col("doc.text")).alias("r"), (-F.log(-F.log(u))).alias("noise"))
     scored = materialise(scored.select("doc_id", "r.n_words", "r.log_ratio", (F.col("r.log_ratio") + F.col("noise")).alias("key")), "importance")
     rows = scored.count()
     last = kth_largest(scored, "key", min(rows, int(-(-rows * fraction // 1))))

@@ -15,12 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise
+from stowage.operators.tables import materialise
 
 #: Buckets of digests whose totals are summed up in one task, and finer ends fetched at once for each cut.
 BUCKETS, FINER = 4096, 256
-#: Parts of a shard within which rows are numbered.
-PARTS = 1024
+#: Parts of a shard within which rows are numbered, and repeats of a row numbered at a time.
+PARTS, REPEATS = 1024, 4_096
 
 
 def _walk(ends: list[int], capacity: int, shards: int, bold: bool) -> list[int]:
@@ -124,16 +124,20 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes of the text (null: none) plus 8. Rows with equal texts share a shard (null and empty count
-    as equal). slot numbers the rows of a shard from 0 without gaps, repeated rows each for itself. With fewer
-    groups than shards some shards stay empty; an empty table gives an empty result.
+    as equal). slot numbers the rows of a shard from 0 without gaps, repeated rows each for itself. Both depend on the
+    rows alone, not on how they are stored. With fewer groups than shards some shards stay empty; ties between cuts go
+    to the earlier one. Other columns play no part; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")
     )
+    # Rows equal in all of these are one row with a count until the end, so that none is too many for a task.
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "digest").agg(F.count(F.lit(1)).alias("copies"))
     rows = materialise(rows, "sizes")
-    bucket = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int") % F.lit(BUCKETS)
-    sums = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("bucket", bucket)
+    # The first bits of the digest, so that buckets are in the order of the digests.
+    bucket = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int"), 16 - BUCKETS.bit_length() + 1)
+    sums = rows.groupBy("digest").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")).withColumn("bucket", bucket)
     sums = materialise(sums, "groups")
     totals = sums.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).orderBy("bucket").collect()
     if not totals:
@@ -145,17 +149,20 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     # At most BUCKETS rows, whatever the input.
     base = F.broadcast(docs.sparkSession.createDataFrame(starts, "bucket int, base long"))
     within = Window.partitionBy("bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
-    groups = sums.join(base, "bucket").select("digest", (F.col("base") + F.sum("bytes").over(within)).alias("end"))
+    # Dealt by ranges of buckets, the ends lie in order in each file, so that a stretch of them is few row groups.
+    groups = sums.repartitionByRange("bucket").join(base, "bucket").select("digest", (F.col("base") + F.sum("bytes").over(within)).alias("end"))
     groups = materialise(groups, "ends")
     capacity, cuts = least_capacity(ends, False, shards, max(t.largest for t in totals), _finer(groups))
     number = sum((F.when(F.col("end") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     placed = groups.select(F.col("digest").alias("_d"), number.cast("int").alias("shard"))
     part = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS)).cast("int").alias("part")
-    dealt = rows.join(placed, rows.digest == placed._d).select("doc_id", "size", "text_crc32", "digest", "shard", part)
+    dealt = rows.join(placed, rows.digest == placed._d).select("doc_id", "size", "text_crc32", "digest", "copies", "shard", part)
     dealt = materialise(dealt, "dealt")
     # shards x PARTS rows at most.
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "digest"))
-    numbered = dealt.withColumn("nth", nth).join(F.broadcast(offsets), ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"))
+    offsets = dealt.groupBy("shard", "part").agg(F.sum("copies").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    upto = F.sum("copies").over(Window.partitionBy("shard", "part").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = dealt.withColumn("upto", upto).join(F.broadcast(offsets), ["shard", "part"]).withColumn("end", F.col("offset") + F.col("upto"))
+    some = F.sequence(F.col("end") - F.col("copies"), F.col("end") - 1, F.lit(REPEATS).cast("long"))
+    numbered = numbered.select("doc_id", "size", "text_crc32", "shard", "end", F.explode(some).alias("least"))
+    return numbered.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.col("least"), F.least(F.col("least") + REPEATS, "end") - 1)).alias("slot"))

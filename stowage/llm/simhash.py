@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, with_locator, without_rows
+from stowage.llm.common import bound_batches, with_locator, without_rows
 from stowage.llm.components import components
+from stowage.operators.tables import materialise, temporary
 
 RADIUS = 3
 SEED = 42
@@ -137,9 +138,13 @@ def _far_links(classes: DataFrame) -> DataFrame:
     rows = balls.select("key", F.shiftright("code", 24).alias("i"), F.shiftright("code", 22).bitwiseAND(F.lit(3)).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("long").alias("low"))
     fp = F.col("key").bitwiseXOR(_bit(F.col("i"))).bitwiseOR(F.expr("shiftleft(low, 21 * k)"))
     rows = rows.select("key", F.col("k").cast("byte").alias("k"), (F.col("i") == 0).alias("own"), fp.alias("fp"))
+    # A key and a block leave 21 or 22 bits open, so a bucket has at most some 4 million rows of 20 bytes.
     bucket = Window.partitionBy("key", "k")
     several = rows.select("*", F.min("fp").over(bucket).alias("lo"), F.max("fp").over(bucket).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    several = materialise(several, "several").join(classes, "fp")
+    several = materialise(several, "several")
+    if several.isEmpty():
+        return several.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    several = several.join(classes, "fp")
     mixed = several.select("*", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi")).where("lo <> hi").drop("lo", "hi")
     mixed = materialise(mixed, "mixed")
     if mixed.isEmpty():
@@ -167,14 +172,16 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
 
 
 def _classify(src: DataFrame, width: int) -> DataFrame:
+    bound_batches(src.sparkSession)
     prints = src.select("doc_id", _fingerprint_column(F.col("text"), width).alias("fp"), "__file", "__row")
     prints = materialise(prints, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")).alias("first")
-    distinct = materialise(prints.groupBy("fp").agg(first), "distinct")
-    roots = link_fingerprints(distinct.select("fp"))
-    classes = distinct.join(roots, "fp")
-    best = classes.groupBy("root").agg(F.min("first").alias("best"))
-    by_print = materialise(classes.join(best, "root").select(F.col("fp").alias("_fp"), "best"), "by_print")
+    with temporary(src.sparkSession) as keep:
+        distinct = materialise(prints.groupBy("fp").agg(first), "distinct")
+        roots = link_fingerprints(distinct.select("fp"))
+        classes = distinct.join(roots, "fp")
+        best = classes.groupBy("root").agg(F.min("first").alias("best"))
+        by_print = keep(materialise(classes.join(best, "root").select(F.col("fp").alias("_fp"), "best"), "by_print"))
     out = prints.join(by_print, prints.fp == by_print._fp)
     return out.select(
         "doc_id",
@@ -195,12 +202,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exactly one has representative true: that with the least id, and among repeats of it the first stored.
     Other columns of ``docs`` play no part. An empty table gives an empty result.
     """
-    src = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return _classify(src, width).drop("__file", "__row")
+    located = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return _classify(located.select("doc.doc_id", "doc.text", "__file", "__row"), width).drop("__file", "__row")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component left, all columns as they were."""
+    """``docs`` with one row of each component left (see :func:`near_duplicates`), all columns as they were, whatever their names.
+
+    Null and empty texts are one component; of repeated rows one stays; no rows give no rows.
+    """
     located = with_locator(docs)
-    found = _classify(located.select("doc_id", "text", "__file", "__row"), width)
-    return without_rows(located, found.where("NOT representative").select("__file", "__row")).select(*docs.columns)
+    found = _classify(located.select("doc.doc_id", "doc.text", "__file", "__row"), width)
+    return without_rows(located, found.where("NOT representative").select("__file", "__row"))

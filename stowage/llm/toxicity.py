@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import materialise, sampled
+from stowage.llm.common import bound_batches, sampled
+from stowage.operators.tables import materialise
 
 #: About so many labelled rows, chosen by a hash of the id, are learnt from; all of them if there are fewer.
 TRAIN_ROWS = 20_000
@@ -115,8 +116,8 @@ class Automaton:
             if not edits:
                 if c != "$":
                     put(node, 1)
-                for child in own.values():
-                    if c != "$":
+                for letter, child in own.items():
+                    if c != "$" and letter != "$":  # the end of a word is no letter
                         put(child, 1)
                     if c in self.children[child]:
                         put(self.children[child][c], 1)
@@ -384,8 +385,11 @@ def score_column(df: DataFrame, model: tuple, text: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Only rows with ``held_out`` false and a label are learnt from. Repeated rows are scored each for itself.
+    Only rows with ``held_out`` false and a label are learnt from. Null and empty texts get the score of a text without a
+    hit; long texts are read whole; repeated rows are scored each for itself; a score of 0.5 predicts 1. Without a
+    labelled row every score is 0.5. Other columns play no part; no rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     own = docs.select("doc_id", "text", held_out.alias("held_out"))
     model = train(own.where("NOT held_out"), labels)
     scored = own.select("doc_id", "held_out", score_column(own, model, F.col("text")).alias("score"))

@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stowage.llm import decontaminate, packing, sharding
+from stowage.llm import decontaminate, packing, sharding, simhash
+from stowage.llm.queries import op8_sharding
 from stowage.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -55,12 +57,12 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 5])
-def test_decontamination(spark, monkeypatch, block):
-    """In one broadcast, and block by block."""
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("most", [decontaminate.SMALL_WORDS, 5])
+def test_decontamination(spark, monkeypatch, most):
+    """With all windows broadcast, and with a bitmap of their hashes and a join."""
+    monkeypatch.setattr(decontaminate, "SMALL_WORDS", most)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    made = docs(spark, TEXTS).withColumn("items", F.lit(1))
+    made = docs(spark, TEXTS).withColumn("items", F.lit(1)).withColumn("__file", F.lit("x")).withColumn("hits", F.lit("y"))
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(made, bench).collect()}
     assert [got[i] for i in range(len(TEXTS))] == brute_hits(TEXTS, ITEMS)
     kept = decontaminate.drop_contaminated(made, bench)
@@ -76,7 +78,9 @@ def test_chunks_make_no_difference(monkeypatch):
     assert list(decontaminate.scan_texts(TEXTS, block, maps)) == whole
 
 
-def test_spans_are_cut_out(spark):
+@pytest.mark.parametrize("most", [decontaminate.SMALL_WORDS, 0])
+def test_spans_are_cut_out(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "SMALL_WORDS", most)
     bench = spark.createDataFrame([(1, "rare word"), (2, "été 42")], "item_id long, text string")
     made = docs(spark, ["a é rare word, b", "Été-42", None, "none", "rare word x été 42"])
     got = {r.doc_id: r.text for r in decontaminate.remove_spans(made, bench).collect()}
@@ -120,11 +124,41 @@ def test_packing(spark):
     check_packing(rows, texts, sources, 32)
     many = packing.pack(docs(spark, texts, sources), capacity=32, group_rows=50).collect()
     check_packing(many, texts, sources, 32)
+    again = packing.pack(docs(spark, texts, sources).repartition(7).where("doc_id >= 0"), capacity=32, group_rows=50).collect()
+    assert sorted(map(repr, many)) == sorted(map(repr, again))
     assert packing.pack(docs(spark, [])).count() == 0
     with pytest.raises(ValueError, match="capacity"):
         packing.pack(docs(spark, []), capacity=1)
 
 
+def test_packing_does_not_depend_on_where_rows_are(spark, tmp_path):
+    rnd = random.Random(4)
+    made = docs(spark, [" ".join(rnd.choices("abcdefgh", k=9)) for _ in range(60)], [rnd.choice("xyz") for _ in range(60)])
+    made.union(made.where("doc_id < 9")).repartition(3).write.parquet(str(tmp_path / "one"))
+    made.union(made.where("doc_id < 9")).orderBy(F.desc("doc_id")).write.parquet(str(tmp_path / "two"))
+    one, two = (sorted(map(repr, packing.pack(spark.read.parquet(str(tmp_path / d)), capacity=50, group_rows=20).collect())) for d in ("one", "two"))
+    assert one == two and len(one) == 69
+
+
+def test_repeats_are_packed_each_for_itself(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REPEATS", 3)
+    made = docs(spark, ["a b c"]).crossJoin(spark.range(20)).drop("id")
+    rows = packing.pack(made, capacity=32).collect()
+    assert len(rows) == 20 and len({r.bin_id for r in rows}) == 20  # one cluster
+
+
+def test_packing_with_near_duplicate_clusters(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    made = docs(spark, [base, base.replace("w150", "other"), "something else entirely", "w1"], ["p", "q", "r", "s"])
+    found = simhash.near_duplicates(made)
+    assert found.where("component_id = 0").count() == 2
+    rows = packing.pack(made, capacity=1000, clusters=found.select("doc_id", F.col("component_id").alias("cluster"))).collect()
+    bins = {r.doc_id: r.bin_id for r in rows}
+    assert bins[0] != bins[1] and bins[2] in (bins[0], bins[1])
+    few = packing.pack(made, capacity=1000, clusters=found.where("doc_id = 0").select("doc_id", F.col("component_id").alias("cluster"))).collect()
+    assert len(few) == 4
+
+
 def test_search_finds_the_tightest_compatible_bin():
     rnd = random.Random(7)
     bins, plain = packing.Bins(50), []
@@ -196,13 +230,42 @@ def test_shards(spark):
     assert all(len(s) == 1 for s in by_text.values())
     for s in sizes:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    order = sorted(by_text, key=lambda t: (int.from_bytes(hashlib.sha256(t.encode()).digest()[:2], "big") % sharding.BUCKETS, hashlib.sha256(t.encode()).digest()))
+    order = sorted(by_text, key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert [by_text[t] for t in order] == sorted(([by_text[t] for t in order]), key=max)  # cut contiguously
     whole = [sum(len((x or "").encode()) + 8 for x in texts if (x or "") == t) for t in order]
     assert max(sizes.values()) == least(whole, 5)
     assert sharding.shard(docs(spark, []), 5).count() == 0
     assert len({r.shard for r in sharding.shard(docs(spark, ["one", "one"]), 5).collect()}) == 1
 
 
+def test_repeats_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 3)
+    made = docs(spark, ["a", "b"]).crossJoin(spark.range(10)).drop("id")
+    got = sharding.shard(made, 2).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in (0, 1) for i in range(10)]
+    one = sharding.shard(made.where("doc_id = 0"), 3).collect()
+    assert sorted(r.slot for r in one) == list(range(10))
+
+
+def test_sharding_query(spark):
+    """The whole query against plain Python: sizes, checksums, the least capacity over the order of digests."""
+    got = op8_sharding(spark, SF).collect()
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in rows.items()}
+    shard_of, sizes = {}, Counter()
+    for r in got:
+        assert shard_of.setdefault(rows[r.doc_id], r.shard) == r.shard and r.law == "bytes" and r.grown_shard is None
+        sizes[r.shard] += r["size"]
+    order = sorted(shard_of, key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert [shard_of[t] for t in order] == sorted(shard_of.values())
+    whole = Counter()
+    for t in rows.values():
+        whole[t] += len(t.encode()) + 8
+    assert max(sizes.values()) == least([whole[t] for t in order], 24)
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_pipeline(spark):
     """The stages against plain Python on whole tables."""
     got = corpus_pipeline.run(spark, SF).collect()
@@ -242,3 +305,20 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, made, SF).columns == made.columns
         assert stage(spark, made.where("false"), SF).count() == 0
+
+
+def test_stages_take_columns_of_any_name_and_exploded_rows(spark):
+    names = ("__file", "__row", "__f", "__b", "__bits", "doc", "hits", "lang_pred", "share", "fp", "c")
+    made = docs(spark, ["a b c", "d e f"]).withColumns({c: F.lit(c) for c in names}).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, made, SF)
+        assert got.columns == made.columns
+        assert [(r.doc_id, r["doc"]) for r in got.orderBy("doc_id").collect()] == [(i, "doc") for i in ((0, 1) if name in ("exact_dedup", "simhash") else (0, 0, 1, 1))]
+    assert len({r.bin_id for r in corpus_pipeline.STAGES[-1][1](spark, made, SF).collect()}) == 4
+
+
+def test_unlabelled_corpus_is_kept(spark):
+    made = docs(spark, ["a text", None, "42", "noch einer"]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, made, SF).collect()) == [0, 3]
+    other = docs(spark, ["ciao bella", "bella ciao"] * 5).withColumn("lang", F.lit("it"))
+    assert corpus_pipeline.language(spark, other, SF).count() == 10

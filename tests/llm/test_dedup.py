@@ -1,6 +1,7 @@
 """SimHash near-dedup and streaming exact dedup against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -110,6 +111,20 @@ def test_empty_and_null_ids(spark):
     assert {r.component_id for r in got} == {4} and sum(r.representative for r in got) == 1
 
 
+def test_temporary_tables_go(spark):
+    from stowage.operators import tables
+
+    with tables.temporary(spark) as keep:
+        a = tables.materialise(spark.range(3), "a")
+        with tables.temporary(spark) as inner:
+            b, c = tables.materialise(spark.range(4), "b"), inner(tables.materialise(spark.range(5), "c"))
+        assert not tables.exists(spark, b.stored_in) and tables.exists(spark, c.stored_in)
+        d = keep(tables.materialise(spark.range(6), "d"))
+    assert not tables.exists(spark, a.stored_in) and not tables.exists(spark, c.stored_in) and d.count() == 6
+    tables.clear(spark)
+    assert not tables.exists(spark, d.stored_in)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (200, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -146,26 +161,83 @@ def test_exact_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
-def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
-    """A second run over more files finds the digests of the first in the state."""
-    folder = str(tmp_path)
-    kind = "doc_id long, sha string, __file string, __row long, digest string"
-    spark.createDataFrame([(3, "s", "f", 0, "d"), (4, "t", "f", 1, "e")], kind).write.parquet(f"{folder}/in")
-    spark.createDataFrame([(1, "s", "g", 0, "d")], kind).write.mode("append").parquet(f"{folder}/in")
-    made = spark.createDataFrame([(3, "s", "f", 0, "d"), (1, "s", "g", 0, "d"), (4, "t", "f", 1, "e")], kind)
-    state = {r.digest: (r.first.doc_id, r.n) for r in exact_dedup.run_stream(made, folder, 1).collect()}
-    assert state == {"d": (1, 2), "e": (4, 1)}
+KIND = "doc_id long, sha string, __file string, __row long, digest string"
 
 
-@pytest.mark.parametrize("most", [8192, 0])
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """A repeated load counts nothing twice; another load finds the digests of the first in the state."""
+    folder = str(tmp_path / "state")
+    one = spark.createDataFrame([(3, "s", "f", 0, "d"), (4, "t", "f", 1, "e")], KIND)
+    two = spark.createDataFrame([(1, "s", "g", 0, "d"), (7, "s", "g", 1, "d")], KIND)
+
+    def run(made, load):
+        return {r.digest: (r.first.doc_id, r.n) for r in exact_dedup.run_stream(made, folder, 1, load).collect()}
+
+    for _ in range(2):
+        assert run(one, "a") == {"d": (3, 1), "e": (4, 1)}
+    for _ in range(2):
+        assert run(two, "b") == {"d": (1, 3), "e": (4, 1)}
+    with pytest.raises(ValueError, match="load"):
+        exact_dedup.run_stream(one, folder, 1, "../x")
+
+
+def test_interrupted_load_is_taken_in_once(spark, tmp_path):
+    """Stored whole but not streamed, and stored in part: both as if nothing had happened."""
+    one = spark.createDataFrame([(3, "s", "f", 0, "d"), (4, "t", "f", 1, "e")], KIND)
+    for name, done in (("whole", True), ("part", False)):
+        folder = str(tmp_path / name)
+        one.write.parquet(f"{folder}/in/load-a")
+        if not done:
+            os.remove(f"{folder}/in/load-a/_SUCCESS")
+        assert {r.digest: r.n for r in exact_dedup.run_stream(one, folder, 1, "a").collect()} == {"d": 1, "e": 1}
+
+
+def test_later_loads_meet_the_state(spark, tmp_path):
+    state = str(tmp_path / "state")
+    for load, texts, ids in (("a", ["x  y", "z", "x y"], [1, 2, 3]), ("b", ["z", "new", "x\ty"], [11, 12, 13])):
+        docs(spark, texts, ids).write.parquet(str(tmp_path / load))
+        made = spark.read.parquet(str(tmp_path / load))
+        for _ in range(2):
+            got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(made, state_dir=state, load=load).collect()}
+            assert got == ({1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False)} if load == "a" else {11: (2, 2, False), 12: (12, 1, True), 13: (1, 3, False)})
+    kept = exact_dedup.drop_exact_duplicates(made, state_dir=state, load="b")
+    assert [r.doc_id for r in kept.collect()] == [12]
+
+
+def test_bytes_are_compared_with_earlier_loads(spark, tmp_path):
+    """Digests shortened to nothing collide across loads; the text that the state points at tells rows apart."""
+    state = str(tmp_path / "state")
+    for load, texts, ids in (("a", ["x", "x"], [1, 2]), ("b", ["y", "x"], [3, 4])):
+        docs(spark, texts, ids).write.parquet(str(tmp_path / load))
+        got = exact_dedup.exact_duplicates(spark.read.parquet(str(tmp_path / load)), digest_of=lambda sha: F.lit(""), state_dir=state, load=load)
+        got = {r.doc_id: (r.keep_id, r.kept) for r in got.collect()}
+    assert got == {3: (3, True), 4: (1, False)}
+
+
+def test_rows_that_share_a_place_are_told_apart(spark, tmp_path):
+    """Rows that come out of a scan several times, and rows brought together."""
+    docs(spark, ["a b c d", "e f g h"]).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    twice = stored.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    joined = stored.join(spark.range(2).withColumnRenamed("id", "k"))
+    union = stored.union(stored).withColumn("k", F.lit(0))
+    for made in (twice, joined, union):
+        got = exact_dedup.exact_duplicates(made).collect()
+        assert sorted((r.keep_id, r.group_size) for r in got) == [(0, 2), (0, 2), (1, 2), (1, 2)] and sum(r.kept for r in got) == 2
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        left = drop(twice.withColumn("__file", F.lit(1)).withColumn("__row", F.lit(2)))
+        assert left.columns[-2:] == ["__file", "__row"] and sorted(r.doc_id for r in left.collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("most", [8192, 2])
 def test_rows_are_dropped_by_place(spark, monkeypatch, tmp_path, most):
-    """By broadcast bitmaps, and by a join beyond their number."""
+    """By bitmaps that are broadcast at once, and for some files after the others."""
     from stowage.llm import common
 
     monkeypatch.setattr(common, "BITMAPS", most)
     spark.range(0, 100_000, 1, 3).withColumn("text", F.col("id").cast("string")).write.parquet(str(tmp_path / "t"))
     located = common.with_locator(spark.read.parquet(str(tmp_path / "t")))
-    gone = located.where("id % 7 = 0 OR id IN (1, 32767, 32768, 33333)").select("__file", "__row")
+    gone = located.where("doc.id % 7 = 0 OR doc.id IN (1, 32767, 32768, 33333)").select("__file", "__row")
     left = common.without_rows(located, gone)
-    assert left.columns == located.columns
+    assert left.columns == ["id", "text"]
     assert sorted(r.id for r in left.select("id").collect()) == [i for i in range(100_000) if i % 7 and i not in (1, 32767, 32768, 33333)]
