@@ -41,8 +41,18 @@ def create_name(path: Column) -> Column:
 
 
 def nesting(path: Column, both: bool = True) -> Column:
-    """Number of components; extraction splits on both slashes, creation on ``/`` only."""
-    return F.size(F.filter(F.split(path, r"[/\\]" if both else "/", -1), lambda c: c != ""))
+    """Number of components, ``.`` and empty ones left out; extraction splits on both slashes, creation on ``/`` only."""
+    return F.size(F.filter(F.split(path, r"[/\\]" if both else "/", -1), lambda c: (c != "") & (c != ".")))
+
+
+def create_error(name: Column, path_bytes: int | None = 64 << 10, most_nesting: int | None = 64) -> Column:
+    """Why no entry may be made under a name (``unsafe``, ``path_bytes``, ``nesting``), or null; ``.`` and ``./`` may."""
+    out = F.when(~name.isin(".", "./") & sanitise(name).isNull(), "unsafe")
+    if path_bytes is not None:
+        out = out.when(F.octet_length(name) > path_bytes, "path_bytes")
+    if most_nesting is not None:
+        out = out.when(nesting(name, both=False) > most_nesting, "nesting")
+    return out
 
 
 def without_slash(path: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.paths import ancestors, leaf, parent, sanitise
+from stowage.functions.paths import ancestors, leaf, nesting, parent, sanitise
+from stowage.operators.entries import LIMITS
 from stowage.operators.plan import SPECIAL, Policy, plan
 from stowage.operators.tables import materialise
 
@@ -41,10 +44,11 @@ def _claims(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["archive_id", "destination"])
 
 
-def layer_plan(entries: DataFrame, policy: Policy = Policy(True, True, False)) -> DataFrame:
+def layer_plan(entries: DataFrame, policy: Policy = Policy(True, True, False), most_nesting: int = LIMITS["nesting"]) -> DataFrame:
     """(archive_id, entry_index, path, operation, destination): materialize, whiteout, opaque or reject and the reason.
 
-    Checks in order: reference to the outside, unsafe path, below a symlink accepted earlier, path claimed before, link
+    Paths of more than ``most_nesting`` components are rejected before anything else (``reject:Limit``), so the rounds
+    below are bounded. Checks in order: reference to the outside, unsafe path, below a symlink accepted earlier, path claimed before, link
     target, kind. A path is claimed before its link and kind are checked. Whether a symlink is accepted depends only
     on symlinks nearer the root, so these are settled by depth (few rounds, over paths with symlinks alone); all the
     rest are joins on archive and path.
@@ -53,6 +57,7 @@ def layer_plan(entries: DataFrame, policy: Policy = Policy(True, True, False)) -
         entries = entries.withColumn("external", F.lit(False))
     rows = _marked(entries.select("archive_id", "entry_index", "path", "kind", "link_target", "external"))
     rows = rows.where(~((F.col("kind") == "dir") & F.col("path").isin(".", "./")))
+    rows = rows.withColumn("deep", nesting(F.col("path")) > most_nesting).withColumn("destination", F.when(~F.col("deep"), F.col("destination")))
     rows = materialise(rows.withColumn("depth", F.size(F.split("destination", "/"))), "layer")
     regular = rows.where("marker = 'regular' AND destination IS NOT NULL AND NOT external")
     link_ok = sanitise(F.col("link_target")).isNotNull()
@@ -73,7 +78,8 @@ def layer_plan(entries: DataFrame, policy: Policy = Policy(True, True, False)) -
     kind = F.col("kind")
     rows = rows.withColumn(
         "operation",
-        F.when((F.col("marker") == "unsafe") | (F.col("marker") != "regular") & F.col("destination").isNull(), "reject:UnsafePath")
+        F.when(F.col("deep"), "reject:Limit")
+        .when((F.col("marker") == "unsafe") | (F.col("marker") != "regular") & F.col("destination").isNull(), "reject:UnsafePath")
         .when((F.col("marker") != "regular") & F.col("escapes"), "reject:SymlinkEscape")
         .when(F.col("marker") != "regular", F.col("marker"))
         .when(F.col("external"), "reject:UnsupportedKind")
@@ -99,15 +105,17 @@ def overlay(entries: DataFrame) -> DataFrame:
     entry of a later layer the entry of the same path. Lower entries meet the markers by an equality join on their
     ancestors; of all markers on a path only the last layer's counts.
     """
-    # Read three times below.
     made = materialise(_marked(entries), "overlay").where("destination IS NOT NULL")
     marks = made.where("marker <> 'regular'").select("image_id", "layer", "marker", F.col("destination").alias("at"))
     hidden = marks.groupBy("image_id", "at").agg(F.max(F.when(F.col("marker") == "whiteout", F.col("layer"))).alias("white"), F.max(F.when(F.col("marker") == "opaque", F.col("layer"))).alias("opaque"))
     rows = made.where("marker = 'regular'").drop("marker")
     last = rows.groupBy("image_id", "destination").agg(F.max("layer").alias("layer"))
     rows = rows.join(last, ["image_id", "destination", "layer"], "left_semi")
-    up = rows.select("image_id", "layer", "entry_index", "destination", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("destination")))).alias("at"))
-    gone = up.join(hidden, ["image_id", "at"]).where((F.col("white") > F.col("layer")) | (F.col("opaque") > F.col("layer")) & (F.col("at") != F.col("destination")))
+    # What is about the root is told by image alone, so that not every entry looks for it.
+    root = hidden.where("at = ''").select(F.col("image_id").alias("_image"), F.col("opaque").alias("_root"))
+    rows = rows.join(root, F.col("image_id") == F.col("_image"), "left").where(~F.coalesce(F.col("_root") > F.col("layer"), F.lit(False))).drop("_image", "_root")
+    up = rows.select("image_id", "layer", "entry_index", "destination", F.explode(ancestors(F.col("destination"))).alias("at"))
+    gone = up.join(hidden.where("at <> ''"), ["image_id", "at"]).where((F.col("white") > F.col("layer")) | (F.col("opaque") > F.col("layer")) & (F.col("at") != F.col("destination")))
     return rows.join(gone.select("image_id", "layer", "entry_index").distinct(), ["image_id", "layer", "entry_index"], "left_anti")
 
 
@@ -125,16 +133,49 @@ def check_digests(layers: DataFrame) -> DataFrame:
     return layers.withColumn("mismatch", wrong)
 
 
+def apply_counts(planned: DataFrame) -> DataFrame:
+    """What applying a layer plan comes to for each archive: entries written, paths removed, directories cleared, entries rejected."""
+    is_ = lambda op: F.count_if(F.col("operation") == op)
+    rejected = F.count_if(F.startswith("operation", F.lit("reject:")))
+    return planned.groupBy("archive_id").agg(is_("materialize").alias("materialized"), is_("whiteout").alias("removed"), is_("opaque").alias("cleared"), rejected.alias("rejected"))
+
+
 def requested_operations(entries: DataFrame) -> DataFrame:
-    """(archive_id, entry_index, operation): what restoring an entry's metadata asks for."""
-    kind = F.col("kind")
+    """(archive_id, entry_index, operation): what restoring an entry and its metadata asks for.
+
+    Columns that ``entries`` lacks ask for nothing: mode, uid, gid, user, group, atime, mtime, ctime, btime, sparse, xattrs
+    (map), acl (array), flags. Each extended attribute and each ACL is an operation of its own (``xattr:`` and its name,
+    ``acl:`` and its number).
+    """
+    has = set(entries.columns)
+
+    def when(operation: str, *names: str) -> Column:
+        known = [F.col(n).isNotNull() for n in names if n in has]
+        return F.when(functools.reduce(lambda a, b: a | b, known), operation) if known else F.lit(None).cast("string")
+
     asked = F.array(
-        F.lit("create_entry"), F.when(kind == "file", F.lit("atomic_commit")), F.when(F.col("mode").isNotNull() & (kind != "symlink"), F.lit("set_mode")),
-        F.when(F.col("uid").isNotNull() | F.col("gid").isNotNull(), F.lit("set_ownership")), F.when(F.col("mtime").isNotNull(), F.lit("set_modified_time")),
+        F.lit("entry"), F.when(F.col("kind") == "file", "atomic_commit"), when("mode", "mode"), when("ownership", "uid", "gid", "user", "group"), when("access_time", "atime"),
+        when("modification_time", "mtime"), when("change_time", "ctime"), when("creation_time", "btime"), F.when(F.size("sparse") > 0, "sparse") if "sparse" in has else F.lit(None).cast("string"),
     )
+    if "xattrs" in has:
+        names = F.transform(F.array_sort(F.map_keys("xattrs")), lambda k: F.concat(F.lit("xattr:"), k.cast("string")))
+        asked = F.concat(asked, F.coalesce(names, F.array().cast("array<string>")))
+    if "acl" in has:
+        asked = F.concat(asked, F.coalesce(F.transform("acl", lambda x, i: F.concat(F.lit("acl:"), i.cast("string"))), F.array().cast("array<string>")))
+    if "flags" in has:
+        asked = F.concat(asked, F.array(F.when(F.col("flags") != 0, "file_flags")))
     return entries.select("archive_id", "entry_index", F.explode(F.array_compact(asked)).alias("operation"))
 
 
 def unsupported_operations(requests: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """Requests that no capability (column operation) covers, as findings."""
-    return requests.join(capabilities, "operation", "left_anti").withColumn("finding", F.lit("unsupported"))
+    """Requests that no capability (column operation: what stands before a colon) covers, as findings."""
+    can = capabilities.select(F.col("operation").alias("_can"))
+    return requests.join(can, F.substring_index("operation", ":", 1) == F.col("_can"), "left_anti").withColumn("finding", F.lit("unsupported"))
+
+
+def with_missing_findings(requests: DataFrame, reported: DataFrame, finding: str = "partial") -> DataFrame:
+    """(archive_id, entry_index, operation, finding): all that an adapter reported, and ``finding`` (``partial``, or ``refused``
+    for entries that were not made) for each request it said nothing about."""
+    keys = ["archive_id", "entry_index", "operation"]
+    silent = requests.select(*keys).join(reported.select(*keys), keys, "left_anti")
+    return reported.select(*keys, "finding").unionByName(silent.withColumn("finding", F.lit(finding)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import is_ipa_info_plist, is_meta_inf_child, is_root_nuspec, sanitise
+from stowage.operators.entries import running
 
 #: Codes of findings that are not errors.
 SEVERITY = {"unknown-member": "warning", "unsupported-compression": "warning", "compressor-mismatch": "warning", "unsigned-package": "info", "signing-scheme-detected": "info"}
@@ -37,14 +38,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def zip_common(entries: DataFrame, budget: int = 4 << 30) -> DataFrame:
     """Findings that all ZIP profiles share: unsafe and repeated paths, encryption, methods, declared size.
 
-    entries: archive_id, entry_index, path, method, encrypted, size. One pass of windows by archive; an encrypted
-    member's method is not reported; the budget once for each archive.
+    entries: archive_id, entry_index, path, method, encrypted, size. Windows are by archive and path, and by archive and
+    block; an encrypted member's method is not reported; the budget once for each archive.
     """
     rows = entries.withColumn("safe", sanitise(F.col("path")))
     repeated = Window.partitionBy("archive_id", "safe").orderBy("entry_index")
-    total = Window.partitionBy("archive_id").orderBy("entry_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("nth", F.row_number().over(repeated)).withColumn("total", F.sum(F.col("size").cast("decimal(38,0)")).over(total))
-    crossed = (F.col("total") > F.lit(budget)) & (F.col("total") - F.col("size") <= F.lit(budget))
+    rows = running(rows.withColumn("nth", F.row_number().over(repeated)).withColumn("wide", F.col("size").cast("decimal(38,0)")), "wide", "before")
+    before = F.coalesce("before", F.lit(0))
+    crossed = (before + F.coalesce("wide", F.lit(0)) > F.lit(budget)) & (before <= F.lit(budget))
     checks = F.array_compact(
         F.array(
             F.when(F.col("safe").isNull(), F.lit("unsafe-entry-path")),
@@ -138,6 +139,7 @@ def deb_findings(members: DataFrame, archives: DataFrame, nested: DataFrame | No
     of the control and data archives (archive_id, member, entry_index, path), from which unsafe and repeated paths come.
     """
     rows = members.withColumn("safe", sanitise(F.col("path"))).withColumn("role", F.when(F.col("safe").isNotNull(), deb_role(F.col("path"))))
+    # The outer archive has three members or so; its windows are small.
     before = Window.partitionBy("archive_id").orderBy("entry_index").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("archive_id", "role").orderBy("entry_index")
     rows = rows.withColumn("top", F.max("role").over(before)).withColumn("nth", F.row_number().over(same)).withColumn("n", F.row_number().over(Window.partitionBy("archive_id").orderBy("entry_index")))
@@ -171,16 +173,19 @@ def deb_findings(members: DataFrame, archives: DataFrame, nested: DataFrame | No
 def rpm_findings(packages: DataFrame) -> DataFrame:
     """Findings of RPM packages from their decoded headers.
 
-    packages: archive_id, lead_ok, header_ok, payload_format, compressor (as declared), detected (by magic).
+    packages: archive_id, lead_ok, header_ok, payload_format, compressor (as declared), detected (by magic). Without a
+    sound lead and header nothing else is looked at, and the container counts as unreadable (column readable of the
+    archives given to :func:`verdicts`).
     """
+    sound = F.col("lead_ok") & F.col("header_ok")
     # Names that RPM headers use for compressors.
     known = F.col("compressor").isin("gzip", "bzip2", "xz", "zstd", "lz4")
     checks = F.array_compact(
         F.array(
             F.when(~F.col("lead_ok"), F.lit("invalid-lead")),
             F.when(F.col("lead_ok") & ~F.col("header_ok"), F.lit("invalid-header")),
-            F.when(F.col("payload_format").isNotNull() & (F.col("payload_format") != "cpio"), F.lit("payload-format-mismatch")),
-            F.when(known & (F.col("compressor") != F.coalesce("detected", F.lit("none"))), F.lit("compressor-mismatch")),
+            F.when(sound & (F.coalesce("payload_format", F.lit("")) != "cpio"), F.lit("payload-format-mismatch")),
+            F.when(sound & known & (F.col("compressor") != F.coalesce("detected", F.lit("none"))), F.lit("compressor-mismatch")),
         )
     )
     return packages.select("archive_id", F.explode(checks).alias("code")).withColumn("severity", severity(F.col("code")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +11,10 @@ from stowage.operators import entries as oe
 from stowage.operators import layers as ol
 from stowage.operators import packages as op
 from stowage.operators.plan import Policy, hardlink_one_step, plan
+from stowage.plans.registry import query as _query
 from stowage.sources import archives as sa
 from stowage.sources.writers import pack
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 #: Entries made from the events table: an archive for each user, an entry for each event.
 DERIVED = """
     SELECT user_id AS archive_id, event_id AS entry_index,
@@ -46,20 +43,6 @@ def _sql(body: str, *more: str) -> str:
     return f"WITH {'RECURSIVE ' if 'UNION' in ''.join(more) else ''}e AS ({e}), s AS ({s}){''.join(', ' + m for m in more)} {body}"
 
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- paths, fields ---------------------------------------------------------------------------------------------
 
 
@@ -69,7 +52,7 @@ def path_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).select("archive_id", "entry_index", "path", safe.alias("safe"), safe.isNull().alias("unsafe"))
 
 
-@_query(_sql("SELECT entry_index, string_split(rtrim(path, '/'), '/')[-1] AS leaf, array_to_string(string_split(path, '/')[:-2], '/') AS parent, CAST(len(list_filter(string_split(path, '/'), lambda c: c <> '')) AS INT) AS nesting FROM e"))
+@_query(_sql("SELECT entry_index, string_split(rtrim(path, '/'), '/')[-1] AS leaf, array_to_string(string_split(path, '/')[:-2], '/') AS parent, CAST(len(list_filter(string_split(path, '/'), lambda c: c NOT IN ('', '.'))) AS INT) AS nesting FROM e"))
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     return derived(spark, sf_dir).select("entry_index", fp.leaf(path).alias("leaf"), fp.parent(path).alias("parent"), fp.nesting(path).alias("nesting"))
@@ -215,12 +198,46 @@ def layer_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ol.overlay(_layers(spark, sf_dir)).select("image_id", "layer", "entry_index", "destination")
 
 
-@_query()
+_DEPTH = 4  # paths of the derived layers are no deeper
+_BELOW = "EXISTS (SELECT 1 FROM y{k} b WHERE b.archive_id = a.archive_id AND starts_with(a.destination, b.at || '/') AND b.since < a.entry_index)"
+_LAYERED = (
+    _IMAGE
+    + """,
+    o AS (SELECT n.image_id AS archive_id, n.entry_index, n.p AS path, n.marker, n.destination, t.kind, t.external, t.target, len(string_split(n.destination, '/')) AS depth
+          FROM n JOIN s t ON n.image_id = t.archive_id AND n.entry_index = t.entry_index),
+    r AS (SELECT * FROM o WHERE marker = 'regular' AND destination IS NOT NULL AND NOT external),
+    y0 AS (SELECT archive_id, destination AS at, entry_index AS since FROM r WHERE false)"""
+    # Whether a symlink counts depends on symlinks nearer the root alone.
+    + "".join(
+        f""",
+    g{k} AS (SELECT * FROM r a WHERE depth = {k} AND NOT {_BELOW.format(k=k - 1)}),
+    y{k} AS (SELECT * FROM y{k - 1} UNION ALL SELECT archive_id, destination, entry_index FROM g{k} a WHERE kind = 'symlink' AND target IS NOT NULL
+      AND entry_index = (SELECT min(entry_index) FROM g{k} c WHERE c.archive_id = a.archive_id AND c.destination = a.destination))"""
+        for k in range(1, _DEPTH + 1)
+    )
+    + f""",
+    v AS (SELECT *, destination IS NOT NULL AND NOT external AND {_BELOW.format(k=_DEPTH)} AS escapes FROM o a),
+    m AS (SELECT *, min(CASE WHEN marker = 'regular' AND destination IS NOT NULL AND NOT external AND NOT escapes THEN entry_index END) OVER (PARTITION BY archive_id, destination) AS claimed FROM v),
+    w AS (SELECT *, CASE WHEN marker <> 'regular' AND destination IS NULL THEN 'reject:UnsafePath' WHEN marker <> 'regular' AND escapes THEN 'reject:SymlinkEscape' WHEN marker <> 'regular' THEN marker
+        WHEN external THEN 'reject:UnsupportedKind' WHEN destination IS NULL THEN 'reject:UnsafePath' WHEN escapes THEN 'reject:SymlinkEscape' WHEN claimed < entry_index THEN 'reject:Duplicate'
+        WHEN kind = 'symlink' THEN CASE WHEN target IS NULL THEN 'reject:UnsafeLinkTarget' ELSE 'materialize' END
+        WHEN kind = 'hardlink' THEN 'link' WHEN kind IN ('file', 'dir') THEN 'materialize' ELSE 'reject:UnsupportedKind' END AS op FROM m),
+    c AS (SELECT archive_id, entry_index, destination FROM w WHERE kind = 'file' AND op = 'materialize'
+      UNION SELECT l.archive_id, l.entry_index, l.destination FROM w l JOIN c ON l.archive_id = c.archive_id AND l.target = c.destination AND c.entry_index < l.entry_index WHERE l.op = 'link')"""
+)
+_OPERATION = """CASE WHEN op <> 'link' THEN op WHEN EXISTS (SELECT 1 FROM c WHERE c.archive_id = w.archive_id AND c.entry_index = w.entry_index) THEN 'materialize' ELSE 'reject:UnsafeLinkTarget' END"""
+
+
+@_query(_sql(f"SELECT archive_id, entry_index, path, {_OPERATION} AS operation, destination FROM w", _LAYERED))
 def layer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a fold in plain Python by the tests."""
     return ol.layer_plan(_layers(spark, sf_dir))
 
 
+@_query(_sql(f"SELECT archive_id, count(*) FILTER (q = 'materialize') AS materialized, count(*) FILTER (q = 'whiteout') AS removed, count(*) FILTER (q = 'opaque') AS cleared, count(*) FILTER (q LIKE 'reject:%') AS rejected FROM (SELECT archive_id, {_OPERATION} AS q FROM w) GROUP BY 1", _LAYERED))
+def layer_apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ol.apply_counts(ol.layer_plan(_layers(spark, sf_dir)))
+
+
 @_query(_sql("SELECT entry_index, CASE uid WHEN 1 THEN 100001 WHEN 3 THEN 100003 ELSE uid END AS new_uid, CASE gid WHEN 2 THEN 200002 ELSE gid END AS new_gid FROM e"))
 def remap_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     uids = spark.createDataFrame([(1, 100001), (3, 100003)], "`from` long, `to` long")
@@ -228,11 +245,44 @@ def remap_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ol.remap_owners(derived(spark, sf_dir), uids, gids).select("entry_index", "new_uid", "new_gid")
 
 
-@_query(_sql("SELECT archive_id, entry_index, 'set_ownership' AS operation, 'unsupported' AS finding FROM e"))
+def _restorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries some of which ask for more than others: times, names, attributes, ACLs, flags, holes."""
+    i = F.col("entry_index")
+    return derived(spark, sf_dir).withColumns({
+        "mode": F.when(i % 3 != 0, F.col("mode")), "uid": F.when(i % 4 != 0, F.col("uid")), "gid": F.lit(None).cast("long"), "user": F.when(i % 8 == 0, "u"),
+        "mtime": F.when(i % 5 != 0, F.col("ts")), "atime": F.when(i % 7 == 0, F.col("ts")), "btime": F.when(i % 11 == 0, F.col("ts")),
+        "xattrs": F.when(i % 13 == 0, F.create_map(F.lit("user.b"), F.lit(b"1"), F.lit("user.a"), F.lit(b"22"))), "acl": F.when(i % 17 == 0, F.array(F.lit(b"x"), F.lit(b"yy"))),
+        "flags": (i % 19 == 0).cast("int"), "sparse": F.when(i % 23 == 0, F.array(F.struct(F.lit(0).alias("offset"), F.lit(5).alias("length")))),
+    })
+
+
+_ASKED = """a AS (SELECT archive_id, entry_index, unnest(list_filter(list_concat([
+      'entry', CASE WHEN kind = 'file' THEN 'atomic_commit' END, CASE WHEN entry_index % 3 <> 0 THEN 'mode' END, CASE WHEN entry_index % 4 <> 0 OR entry_index % 8 = 0 THEN 'ownership' END,
+      CASE WHEN entry_index % 5 <> 0 THEN 'modification_time' END, CASE WHEN entry_index % 7 = 0 THEN 'access_time' END, CASE WHEN entry_index % 11 = 0 THEN 'creation_time' END,
+      CASE WHEN entry_index % 19 = 0 THEN 'file_flags' END, CASE WHEN entry_index % 23 = 0 THEN 'sparse' END],
+      CASE WHEN entry_index % 13 = 0 THEN ['xattr:user.a', 'xattr:user.b'] ELSE [] END, CASE WHEN entry_index % 17 = 0 THEN ['acl:0', 'acl:1'] ELSE [] END), lambda x: x IS NOT NULL)) AS operation FROM e)"""
+
+
+@_query(_sql("SELECT archive_id, entry_index, operation FROM a", _ASKED))
+def requested_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ol.requested_operations(_restorable(spark, sf_dir))
+
+
+@_query(_sql("SELECT archive_id, entry_index, operation, 'unsupported' AS finding FROM a WHERE string_split(operation, ':')[1] NOT IN ('entry', 'atomic_commit', 'mode', 'modification_time', 'xattr')", _ASKED))
 def unsupported_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir).withColumn("mtime", F.col("ts"))
-    can = spark.createDataFrame([("create_entry",), ("atomic_commit",), ("set_mode",), ("set_modified_time",)], "operation string")
-    return ol.unsupported_operations(ol.requested_operations(rows), can).select("archive_id", "entry_index", "operation", "finding")
+    can = spark.createDataFrame([(c,) for c in ("entry", "atomic_commit", "mode", "modification_time", "xattr")], "operation string")
+    return ol.unsupported_operations(ol.requested_operations(_restorable(spark, sf_dir)), can)
+
+
+@_query(_sql("""SELECT archive_id, entry_index, operation, CASE WHEN operation IN ('entry', 'mode') AND entry_index % 6 <> 0 THEN 'applied' WHEN operation = 'ownership' THEN 'refused' ELSE 'partial' END AS finding FROM a
+    UNION ALL SELECT archive_id, entry_index, 'remove_path', 'os_error' FROM e WHERE entry_index % 31 = 0""", _ASKED))
+def reported_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an adapter said about each request, and what it left out."""
+    asked = ol.requested_operations(_restorable(spark, sf_dir))
+    done = asked.where("operation IN ('entry', 'mode') AND entry_index % 6 <> 0").withColumn("finding", F.lit("applied"))
+    refused = asked.where("operation = 'ownership'").withColumn("finding", F.lit("refused"))
+    more = derived(spark, sf_dir).where("entry_index % 31 = 0").select("archive_id", "entry_index", F.lit("remove_path").alias("operation"), F.lit("os_error").alias("finding"))
+    return ol.with_missing_findings(asked, done.union(refused).union(more))
 
 
 # --- packages --------------------------------------------------------------------------------------------------
@@ -240,12 +290,12 @@ def unsupported_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir).withColumn("method", F.when(F.col("entry_index") % 11 == 0, 12).otherwise(8)).withColumn("encrypted", F.col("entry_index") % 13 == 0)
-    name = F.when(F.col("entry_index") % 53 == 0, "META-INF/MANIFEST.MF").when(F.col("entry_index") % 59 == 0, F.concat(F.col("entry_index").cast("string"), F.lit(".nuspec")))
+    name = F.when(F.col("entry_index") % 53 == 0, "META-INF/MANIFEST.MF").when(F.col("entry_index") % 59 == 0, F.concat(F.col("entry_index").cast("string"), F.lit(".nuspec"))).when(F.col("entry_index") % 61 == 0, "[Content_Types].xml")
     return rows.withColumn("path", F.coalesce(name, F.col("path"))).withColumn("local_offset", F.col("entry_index")).withColumn("head", F.lit(None).cast("binary"))
 
 
 _ZIP = """z AS (SELECT archive_id, entry_index, size, CASE WHEN entry_index % 11 = 0 THEN 12 ELSE 8 END AS method, entry_index % 13 = 0 AS encrypted,
-      CASE WHEN entry_index % 53 = 0 THEN 'META-INF/MANIFEST.MF' WHEN entry_index % 59 = 0 THEN CAST(entry_index AS VARCHAR) || '.nuspec' ELSE path END AS p FROM e),
+      CASE WHEN entry_index % 53 = 0 THEN 'META-INF/MANIFEST.MF' WHEN entry_index % 59 = 0 THEN CAST(entry_index AS VARCHAR) || '.nuspec' WHEN entry_index % 61 = 0 THEN '[Content_Types].xml' ELSE path END AS p FROM e),
     y AS (SELECT *, """ + _SAFE.format(p="p") + """ AS safe2 FROM z),
     x AS (SELECT *, row_number() OVER (PARTITION BY archive_id, safe2 ORDER BY entry_index) AS nth, sum(size) OVER (PARTITION BY archive_id ORDER BY entry_index) AS total FROM y),
     f AS (SELECT archive_id, 'unsafe-entry-path' AS code, p AS path FROM x WHERE safe2 IS NULL

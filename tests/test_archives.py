@@ -256,7 +256,7 @@ def test_layers_files_and_decompression(spark, tmp_path):
 
 
 def test_hot_source_is_many_archives(spark, monkeypatch, tmp_path):
-    from stowage.plans import queries
+    from stowage.plans import queries, registry
     from stowage.sources import archives, codecs, writers
 
     rows = [(i, f"text {i}", "en", s, 0) for i, s in enumerate(["hot"] * 300 + ["cold", None])]
@@ -266,7 +266,7 @@ def test_hot_source_is_many_archives(spark, monkeypatch, tmp_path):
     assert packed.count() > 10 and codecs.DECODED_TOTAL == 4 << 30
     want = {(s, f"en/{i}.txt", hashlib.sha256(t.encode()).hexdigest()) for i, t, _, s, _ in rows}
     for name in ("round_trip_tar_gzip", "round_trip_zip"):
-        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {(r.archive_id, r.path, r.sha256) for r in got} == want
     report = {r.archive_id: r.entry_count for r in queries.QUERIES["inspect_archives"](spark, str(tmp_path)).collect()}
     assert report == {"hot": 300, "cold": 1, None: 1}

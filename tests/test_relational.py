@@ -78,10 +78,50 @@ def test_plan_is_the_fold(spark):
     got = {(r.archive_id, r.entry_index): r.outcome for r in plan(spark.createDataFrame(chain + mixed, ENTRY), policy).collect()}
     for rows in (chain, mixed):
         assert {i: got[rows[0][0], i] for _, i, *_ in rows} == fold(rows, policy)
+    # Mostly hardlinks: chains of links, paths that several links make, links that come before their target.
+    names = [f"p{i}" for i in range(25)]
+    many = [(f"k{k}", i, rnd.choice(names), rnd.choice(["file"] + ["hardlink"] * 14), rnd.choice(names)) for k in range(12) for i in range(60)]
+    got = {(r.archive_id, r.entry_index): r.outcome for r in plan(spark.createDataFrame(many, ENTRY), policy).collect()}
+    for k in range(12):
+        rows = [r for r in many if r[0] == f"k{k}"]
+        assert {i: got[rows[0][0], i] for _, i, *_ in rows} == fold(rows, policy)
     assert set(fold(chain, policy).values()) == {"materialize"}
     assert plan(spark.createDataFrame([], ENTRY), policy).count() == 0
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """10,000 links one after the other, and as many that begin with nothing."""
+    from stowage.operators import plan as module
+
+    made = []
+    store = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: made.append(name) or store(df, name))
+    n = 10_000
+    rows = [("c", i, f"f{i}", "hardlink" if i else "file", f"f{i - 1}" if i else None) for i in range(n)] + [("d", i, f"f{i}", "hardlink", f"f{i - 1}") for i in range(n)]
+    got = plan(spark.createDataFrame(rows, ENTRY), Policy(hardlinks=True)).groupBy("archive_id", "outcome").count().collect()
+    assert {(r.archive_id, r.outcome): r["count"] for r in got} == {("c", "materialize"): n, ("d", "reject:UnsafeLinkTarget"): n}
+    assert made.count("pointers") <= 20 and made.count("open") == 0
+
+
+def test_running_by_blocks(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(k, i, rnd.choice([None, rnd.randrange(100)])) for k in ("a", "b") for i in rnd.sample(range(200), 60)]
+    made = spark.createDataFrame(rows, "archive_id string, entry_index long, v long")
+    for block in (1, 7, 65_536):
+        monkeypatch.setattr(oe, "BLOCK", block)
+        for how, plain in ((F.sum, sum), (F.max, max)):
+            for r in oe.running(made, "v", "before", how).collect():
+                known = [v for k, i, v in rows if k == r.archive_id and i < r.entry_index and v is not None]
+                assert r.before == (plain(known) if known else None)
+
+
+def test_layers_bound_their_depth(spark):
+    deep = "d/" * 70 + "x"
+    made = spark.createDataFrame([("a", 0, deep, "symlink", "t"), ("a", 1, f"{deep}/y", "file", None), ("a", 2, "b", "file", None), ("a", 3, "d/" * 70 + ".wh.q", "file", None)], ENTRY)
+    got = {r.entry_index: r.operation for r in ol.layer_plan(made).collect()}
+    assert got == {0: "reject:Limit", 1: "reject:Limit", 2: "materialize", 3: "reject:Limit"}
+
+
 def layer_fold(rows, policy):
     claimed, files, links, out = set(), set(), set(), {}
 
@@ -149,6 +189,9 @@ def test_overlay(spark):
     ]
     got = ol.overlay(spark.createDataFrame(rows, "image_id string, layer int, entry_index long, path string"))
     assert sorted((r.layer, r.destination) for r in got.collect()) == [(0, "usr"), (1, "etc/b"), (1, "usr/new")]
+    rows += [("i", 2, 1, ".wh..wh..opq"), ("i", 2, 2, "etc/c"), ("j", 0, 1, "kept")]
+    got = ol.overlay(spark.createDataFrame(rows, "image_id string, layer int, entry_index long, path string"))
+    assert sorted((r.image_id, r.layer, r.destination) for r in got.collect()) == [("i", 2, "etc/c"), ("j", 0, "kept")]
 
 
 def test_cpio_groups(spark):
@@ -170,6 +213,7 @@ def test_limits_on_both_sides(spark):
     for limits, broken in (({"entries": 2}, 0), ({"entries": 1}, 1), ({"path_bytes": 4}, 0), ({"path_bytes": 3}, 1), ({"decoded_total": 11}, 0), ({"decoded_total": 10}, 1)):
         assert oe.over_limits(made, limits).count() == broken
     assert oe.running_budget(made, 10).first()["entry_index"] == 1 and oe.running_budget(made, 11).count() == 0
+    assert value(spark, "a/./b//c", lambda c: fp.nesting(c)) == 3 and value(spark, "a\\b", lambda c: fp.nesting(c, both=False)) == 1
     records = [r.record for r in oe.inspect_records(made).orderBy("seq").collect()]
     assert len(records) == 3 and "complete" in records[-1]
 
@@ -220,6 +264,8 @@ def test_deb_and_rpm(spark):
     assert codes(op.deb_findings(members(*good), all_of, nested)) == ["duplicate-entry-path", "unsafe-entry-path"]
     rpm = spark.createDataFrame([("r", True, True, "cpio", "xz", "gzip")], "archive_id string, lead_ok boolean, header_ok boolean, payload_format string, compressor string, detected string")
     assert codes(op.rpm_findings(rpm)) == ["compressor-mismatch"]
+    assert codes(op.rpm_findings(rpm.withColumn("payload_format", F.lit(None).cast("string")))) == ["compressor-mismatch", "payload-format-mismatch"]
+    assert codes(op.rpm_findings(rpm.withColumn("header_ok", F.lit(False)))) == ["invalid-header"]
 
 
 def test_plan_report(spark):
