@@ -268,9 +268,9 @@ def test_hot_source_is_many_archives(spark, monkeypatch, tmp_path):
     for name in ("round_trip_tar_gzip", "round_trip_zip"):
         got = registry.QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {(r.archive_id, r.path, r.sha256) for r in got} == want
-    report = {r.archive_id: r.entry_count for r in queries.QUERIES["inspect_archives"](spark, str(tmp_path)).collect()}
+    report = {r.archive_id: r.entry_count for r in registry.QUERIES["inspect_archives"](spark, str(tmp_path)).collect()}
     assert report == {"hot": 300, "cold": 1, None: 1}
-    layers = queries.QUERIES["layer_digests"](spark, str(tmp_path)).collect()
+    layers = registry.QUERIES["layer_digests"](spark, str(tmp_path)).collect()
     assert len(layers) == 3 and all(r.same_diff_id for r in layers)
     with pytest.raises(Exception, match="Limit|budget|archive"):
         archives.payloads(packed, strict=True, total=100).collect()
