@@ -207,3 +207,23 @@ def digest_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir).select("archive_id", "entry_index", own.alias("computed_digest"), own.alias("computed_diff_id"))
     rows = rows.withColumn("expected_digest", F.when(i % 2 == 1, "sha256:0").otherwise(F.col("computed_digest"))).withColumn("expected_diff_id", F.when(i % 4 >= 2, "sha256:1").otherwise(F.col("computed_diff_id")))
     return ol.check_digests(rows).select("archive_id", "entry_index", "mismatch")
+
+
+#: First bytes, where in the content they are, and what they tell: container, or compression.
+_MAGIC = [
+    (b"PK\3\4", 0, "zip", None), (b"PK\5\6", 0, "zip", None), (b"PK\1\2", 0, None, None), (b"7z\xbc\xaf\x27\x1c", 0, "7z", None), (b"MSCF", 0, "cab", None), (b"xar!", 0, "xar", None), (b"070701", 0, "cpio", None),
+    (b"070707", 0, "cpio", None), (b"\xc7\x71", 0, "cpio", None), (b"!<arch>\n", 0, "ar", None), (b"!<thin>\n", 0, "ar", None), (b"CD001", 32769, "iso9660", None), (b"CD001", 0, None, None), (b"\x1f\x8b", 0, None, "gzip"),
+    (b"\x28\xb5\x2f\xfd", 0, None, "zstd"), (b"\xfd7zXZ\0", 0, None, "xz"), (b"\x04\x22\x4d\x18", 0, None, "lz4"), (b"BZh9", 0, None, "bzip2"), (b"BZh0", 0, None, None), (b"", 0, None, None),
+]
+_PROBES = ", ".join(f"({i}, {'NULL' if f is None else repr(f)}, {'NULL' if c is None else repr(c)})" for i, (_, _, f, c) in enumerate(_MAGIC))
+
+
+@query(f"SELECT doc_id, probe, format, filter, length(coalesce(text, '')) AS chars FROM documents, (VALUES {_PROBES}) AS v(probe, format, filter)")
+def magic_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text behind the first bytes of every container and codec."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    heads = F.array(*(F.struct(F.lit(i).alias("probe"), F.lit(at).alias("at"), F.lit(magic).alias("magic")) for i, (magic, at, _, _) in enumerate(_MAGIC)))
+    rows = docs.select("doc_id", "text", F.explode(heads).alias("m")).select("doc_id", "text", "m.*")
+    content = F.concat(F.repeat(F.lit("\0"), F.col("at")).cast("binary"), F.col("magic"), F.col("text").cast("binary"))
+    rows = rows.select("doc_id", "probe", F.length("text").cast("long").alias("chars"), content.alias("content"))
+    return rows.select("doc_id", "probe", ff.format_of_magic(F.col("content")).alias("format"), ff.filter_of_magic(F.col("content")).alias("filter"), "chars")

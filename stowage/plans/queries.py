@@ -387,10 +387,10 @@ def layer_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT source AS archive_id, format, filter FROM (SELECT DISTINCT source FROM documents), (VALUES ('tar', NULL), ('cpio', NULL), ('ar', NULL), ('zip', NULL), (NULL, 'gzip'), (NULL, 'bzip2'), (NULL, 'xz'), (NULL, 'lz4')) AS v(format, filter)")
 def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers and codecs told by their magic, in columns."""
-    few = _documents(spark, sf_dir).groupBy("archive_id").agg(F.min_by(F.struct("entry_index", "path", "kind", "payload", "mode", "secs"), "entry_index").alias("x")).select("archive_id", "x.*")
+    """Containers and codecs told by their magic, in columns, over archives of all documents."""
+    whole = _blocked(spark, sf_dir)
     out = None
     for fmt, codec in (("tar", None), ("cpio", None), ("ar", None), ("zip", None), ("tar", "gzip"), ("tar", "bzip2"), ("tar", "xz"), ("tar", "lz4")):
-        found = sa.archive_table(pack(few, fmt, codec)).select("archive_id", "format", "filter")
+        found = sa.archive_table(pack(whole, fmt, codec)).select(_source().alias("archive_id"), "format", "filter")
         out = found if out is None else out.union(found)
-    return out
+    return out.distinct()

@@ -28,6 +28,8 @@ def test_fields(spark):
     assert spark.range(1).select(ff.octal(F.lit(b"0000644\0"))).first()[0] == 0o644
     assert spark.range(1).select(ff.octal(F.lit(b"\x80\0\0\0\0\0\0\0\0\0\1\0"))).first()[0] == 256
     assert spark.range(1).select(ff.octal(F.lit(b"12x"))).first()[0] is None
+    for raw in (b"", b"\0", bytes(range(256)) * 2, b"\xf0\x0f\xa1"):
+        assert spark.range(1).select(ff.byte_sum(F.lit(raw))).first()[0] == sum(raw)
     assert tuple(value(spark, "-1.5", ff.pax_time)) == (-2, 500_000_000)
     assert tuple(value(spark, "12.000000001", ff.pax_time)) == (12, 1)
     assert value(spark, "x", ff.pax_time) is None
