@@ -95,24 +95,25 @@ def _links(stars: DataFrame) -> DataFrame:
     return stars.where(near).select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def _longs(values: list[int]) -> Column:
-    return F.array(*(F.lit(_signed(v)).cast("long") for v in values))
-
-
 def _near_links(distinct: DataFrame) -> DataFrame:
     """Links of at most 2 bits between distinct fingerprints.
 
     A variant travels with the number of its flipped bit alone (0: none), from which the fingerprint follows.
     """
-    flips = F.array(*(F.struct(F.lit(i).cast("byte").alias("i"), F.lit(_signed(1 << i >> 1) if i else 0).cast("long").alias("flip")) for i in range(65)))
-    balls = distinct.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.flip")).alias("key"), F.col("x.i").alias("i"))
+    balls = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    balls = balls.select(F.col("fp").bitwiseXOR(_bit(F.col("i"))).alias("key"), F.col("i").cast("byte").alias("i"))
     rows = balls.repartition("key").select("key", F.col("key").bitwiseXOR(_bit(F.col("i"))).alias("fp"))
     return _links(_star(rows.select("key", "fp", F.col("fp").alias("c")), ["key"]))
 
 
 def _bit(i: Column) -> Column:
     """The number with bit i - 1 alone; 0 for 0."""
-    return F.when(i > 0, F.expr("shiftleft(1L, CAST(i AS INT) - 1)")).otherwise(F.lit(0).cast("long"))
+    return F.when(i > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int") - 1)).otherwise(F.lit(0).cast("long"))
+
+
+def _by_block(values: list[int], kind: str = "long") -> Column:
+    """One of three numbers, by the number k of a block."""
+    return F.element_at(F.array(*(F.lit(_signed(v)).cast(kind) for v in values)), F.col("k").cast("int") + 1)
 
 
 def _far_links(classes: DataFrame) -> DataFrame:
@@ -121,21 +122,14 @@ def _far_links(classes: DataFrame) -> DataFrame:
     A variant travels with one int: the blanked bits, which block that is (from bit 22), the flipped bit (from 24).
     """
     all_bits = (1 << 64) - 1
-    variants, inner, inner2 = [], [], []
-    for k, (lo, hi) in enumerate(BLOCKS):
-        block = ((1 << hi) - 1) ^ ((1 << lo) - 1)
-        variants += [(k, lo, block, i) for i in [0, *(i + 1 for i in range(64) if not lo <= i < hi)]]
-        inner.append(_longs([block ^ (1 << i) for i in range(lo, hi)]))
-        inner2.append((lo, hi, block))
-
-    def long(v: int) -> Column:
-        return F.lit(_signed(v)).cast("long")
-
-    each = F.array(*(F.struct(F.lit(lo).alias("lo"), long(all_bits ^ block).alias("keep"), long(1 << i >> 1).alias("flip"), F.lit(k << 22 | i << 24).alias("code")) for k, lo, block, i in variants))
-    balls = classes.select("fp", F.explode(each).alias("x"))
-    low = F.expr("CAST(shiftrightunsigned(fp & ~x.keep, x.lo) AS INT)")
-    balls = balls.select(F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip")).alias("key"), F.col("x.code").bitwiseOR(low).alias("code")).repartition("key")
-    rows = balls.select("key", F.shiftright("code", 24).alias("i"), F.shiftright("code", 22).bitwiseAND(F.lit(3)).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("long").alias("low"))
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in BLOCKS]
+    low, high, block, keep = _by_block([lo for lo, _ in BLOCKS], "int"), _by_block([hi for _, hi in BLOCKS], "int"), _by_block(masks), _by_block([all_bits ^ m for m in masks])
+    codes = F.array(*(F.lit(k << 22 | i << 24) for k, (lo, hi) in enumerate(BLOCKS) for i in [0, *(i + 1 for i in range(64) if not lo <= i < hi)]))
+    number, flipped = F.shiftright("code", 22).bitwiseAND(F.lit(3)), F.shiftright("code", 24)
+    balls = classes.select("fp", F.explode(codes).alias("code")).select("fp", "code", number.alias("k"))
+    blanked = F.call_function("shiftrightunsigned", F.col("fp").bitwiseAND(block), low).cast("int")
+    balls = balls.select(F.col("fp").bitwiseAND(keep).bitwiseXOR(_bit(flipped)).alias("key"), F.col("code").bitwiseOR(blanked).alias("code")).repartition("key")
+    rows = balls.select("key", flipped.alias("i"), number.alias("k"), F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("long").alias("low"))
     fp = F.col("key").bitwiseXOR(_bit(F.col("i"))).bitwiseOR(F.expr("shiftleft(low, 21 * k)"))
     rows = rows.select("key", F.col("k").cast("byte").alias("k"), (F.col("i") == 0).alias("own"), fp.alias("fp"))
     # A key and a block leave 21 or 22 bits open, so a bucket has at most some 4 million rows of 20 bytes.
@@ -149,17 +143,15 @@ def _far_links(classes: DataFrame) -> DataFrame:
     mixed = materialise(mixed, "mixed")
     if mixed.isEmpty():
         return mixed.select(F.col("c").alias("u"), F.col("c").alias("v"))
-    by_block = F.when(F.col("k") == 0, inner[0]).when(F.col("k") == 1, inner[1]).otherwise(inner[2])
-    one = mixed.select("fp", "c", "k", "key", F.explode(by_block).alias("left")).select("fp", "c", "k", "key", "left", F.col("fp").bitwiseAND(F.col("left")).alias("rest"))
-    links = _links(_star(one, ["k", "key", "left", "rest"]))
-    same = mixed.where("own")
-    for k, (lo, hi, block) in enumerate(inner2):
-        keys = [(block ^ (1 << j), flip) for j in range(lo, hi) for flip in [0, *(1 << i for i in range(lo, hi) if i != j)]]
-        pairs = F.array(*(F.struct(F.lit(_signed(a)).cast("long").alias("left"), F.lit(_signed(b)).cast("long").alias("flip")) for a, b in keys))
-        three = same.where(F.col("k") == k).select("fp", "c", "key", F.explode(pairs).alias("x"))
-        three = three.select("fp", "c", "key", F.col("x.left").alias("left"), F.col("fp").bitwiseAND(F.col("x.left")).bitwiseXOR(F.col("x.flip")).alias("rest"))
-        links = links.union(_links(_star(three, ["key", "left", "rest"])))
-    return links
+    # One bit of the block left out: j.
+    one = mixed.select("fp", "c", "k", "key", "own", F.explode(F.sequence(low, high - 1)).alias("j"))
+    one = one.withColumn("left", block.bitwiseXOR(_bit(F.col("j") + 1)))
+    links = _links(_star(one.withColumn("rest", F.col("fp").bitwiseAND(F.col("left"))), ["k", "key", "left", "rest"]))
+    # And one bit of the rest of the block flipped: i, or none.
+    three = one.where("own").select("fp", "c", "k", "key", "j", "left", F.explode(F.sequence(low, high)).alias("i")).where("i <> j")
+    flip = F.when(F.col("i") < high, _bit(F.col("i") + 1)).otherwise(F.lit(0).cast("long"))
+    three = three.withColumn("rest", F.col("fp").bitwiseAND(F.col("left")).bitwiseXOR(flip))
+    return links.union(_links(_star(three, ["k", "key", "left", "rest"])))
 
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
