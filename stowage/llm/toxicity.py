@@ -5,6 +5,9 @@ intersected with Levenshtein automata of one edit: the product is walked letter
 made as they are first reached, and most words leave it within a few letters. Each hit is then seen in its window of
 words: quotation marks and words of reporting speak for quotation, address and repetition for abuse. A logistic
 regression over sums of these gives the score.
+
+What bounds the work bounds what is seen: a word with letters and signs mixed is looked at within 30 characters for a letter
+and a sign, with 60 letters at most between signs; quotation marks count within 60 characters on either side of a hit.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from stowage.operators.tables import materialise
 TRAIN_ROWS = 20_000
 #: Letters of a stem; words of at least FUZZY letters may be one edit away.
 SHORTEST, LONGEST, FUZZY = 4, 10, 5
-#: Stems and words of a lexicon at most, best first.
+#: Stems and words of a lexicon at most, best first, out of four times as many candidates.
 TERMS = 1_000
 #: Words of clean texts close to a term that are remembered as no misspelling of it, most frequent first.
 KNOWN = 10_000
