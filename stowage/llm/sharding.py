@@ -12,7 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.tables import materialise
@@ -105,16 +105,12 @@ def least_capacity(ends: list[int], closed: bool, shards: int, largest: int, fin
 
 def _finer(groups: DataFrame) -> Callable[[list[tuple[int, int]]], list[tuple[list[int], bool]]]:
     def fetch(gaps: list[tuple[int, int]]) -> list[tuple[list[int], bool]]:
-        arms: Column = F.lit(None).cast("int")
-        cell: Column = F.lit(None).cast("long")
-        near = F.lit(False)
-        for i, (a, b) in enumerate(gaps):
-            inside = (F.col("end") > a) & (F.col("end") < b)
-            step = max(1, (b - a) // FINER)
-            arms = F.when(inside, F.lit(i)).otherwise(arms)
-            cell = F.when(inside, F.floor((F.col("end") - F.lit(a)) / F.lit(step)).cast("long")).otherwise(cell)
-            near = near | inside
-        rows = groups.where(near).groupBy(arms.alias("gap"), cell.alias("cell")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n")).collect()
+        # As text: an expression of that many parts takes longer to build than to run.
+        inside = [f"(`end` > {a} AND `end` < {b})" for a, b in gaps]
+        gap = F.expr("CASE " + " ".join(f"WHEN {x} THEN {i}" for i, x in enumerate(inside)) + " END")
+        cell = F.expr("CASE " + " ".join(f"WHEN {x} THEN (`end` - {a}) DIV {max(1, (b - a) // FINER)}" for x, (a, b) in zip(inside, gaps, strict=True)) + " END")
+        near = groups.where(" OR ".join(inside)).groupBy(gap.alias("gap"), cell.alias("cell"))
+        rows = near.agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n")).collect()
         return [(sorted(r.e for r in rows if r.gap == i), all(r.n == 1 for r in rows if r.gap == i)) for i in range(len(gaps))]
 
     return fetch
@@ -153,7 +149,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     groups = sums.repartitionByRange("bucket").join(base, "bucket").select("digest", (F.col("base") + F.sum("bytes").over(within)).alias("end"))
     groups = materialise(groups, "ends")
     capacity, cuts = least_capacity(ends, False, shards, max(t.largest for t in totals), _finer(groups))
-    number = sum((F.when(F.col("end") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    number = F.expr(" + ".join(["0", *(f"IF(`end` > {c}, 1, 0)" for c in cuts)]))
     placed = groups.select(F.col("digest").alias("_d"), number.cast("int").alias("shard"))
     part = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS)).cast("int").alias("part")
     dealt = rows.join(placed, rows.digest == placed._d).select("doc_id", "size", "text_crc32", "digest", "copies", "shard", part)
