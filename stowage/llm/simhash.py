@@ -9,7 +9,7 @@ which shuffle on variants and none of which lists the pairs of a bucket:
    A block with exactly one differing bit leaves 2, which variants of one flip bring together. Only buckets that
    hold more than one class so far are looked at again; there a further key with one bit of the blanked block
    left out makes sure that the block differs in at most that bit. The case left, 3 bits in one block and none
-   outside, is settled among rows with equal bits outside by the same step within the block.
+   outside, is settled among rows with equal bits outside: variants of up to two flips meet those of one flip.
 
 Each link that comes out is a real pair and is checked by counting its differing bits.
 """
@@ -144,14 +144,18 @@ def _far_links(classes: DataFrame) -> DataFrame:
     if mixed.isEmpty():
         return mixed.select(F.col("c").alias("u"), F.col("c").alias("v"))
     # One bit of the block left out: j.
-    one = mixed.select("fp", "c", "k", "key", "own", F.explode(F.sequence(low, high - 1)).alias("j"))
+    one = mixed.select("fp", "c", "k", "key", F.explode(F.sequence(low, high - 1)).alias("j"))
     one = one.withColumn("left", block.bitwiseXOR(_bit(F.col("j") + 1)))
     links = _links(_star(one.withColumn("rest", F.col("fp").bitwiseAND(F.col("left"))), ["k", "key", "left", "rest"]))
-    # And one bit of the rest of the block flipped: i, or none.
-    three = one.where("own").select("fp", "c", "k", "key", "j", "left", F.explode(F.sequence(low, high)).alias("i")).where("i <> j")
-    flip = F.when(F.col("i") < high, _bit(F.col("i") + 1)).otherwise(F.lit(0).cast("long"))
-    three = three.withColumn("rest", F.col("fp").bitwiseAND(F.col("left")).bitwiseXOR(flip))
-    return links.union(_links(_star(three, ["k", "key", "left", "rest"])))
+    # Rows equal outside the block: each emits its variants of up to two flips j and i within it (none: from high on). All
+    # of a bucket is at most 3 bits from its least row of at most one flip. Only where rows of several classes meet.
+    same = mixed.where("own").select("*", F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi")).where("lo <> hi")
+    balls = same.select("fp", "c", "k", F.explode(F.sequence(low, high)).alias("j"))
+    balls = balls.select("fp", "c", "k", "j", F.explode(F.sequence(F.col("j") + 1, F.when(F.col("j") < high, high).otherwise(high + 1))).alias("i"))
+    flips = [F.when(F.col(x) < high, _bit(F.col(x) + 1)).otherwise(F.lit(0).cast("long")) for x in "ji"]
+    points = balls.select("fp", "c", "k", F.col("fp").bitwiseXOR(flips[0]).bitwiseXOR(flips[1]).alias("point"), F.when(F.col("i") >= high, F.struct("c", "fp")).alias("near"))
+    least = points.select("fp", "c", F.min("near").over(Window.partitionBy("k", "point")).alias("h")).where("h IS NOT NULL AND c <> h.c")
+    return links.union(_links(least.select("fp", "c", F.col("h.fp").alias("hub_fp"), F.col("h.c").alias("hub"))))
 
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:

@@ -78,6 +78,9 @@ def test_links_of_all_shapes(spark):
             for i in rnd.sample(range(lo, hi), n):
                 b ^= 1 << i
         prints |= {a, b}
+    for lo, hi in simhash.BLOCKS:  # many that differ in one block alone, at all distances
+        base = rnd.getrandbits(64)
+        prints |= {base ^ sum(1 << i for i in rnd.sample(range(lo, hi), rnd.randrange(8))) for _ in range(60)}
     want = brute_groups(prints)
     rows = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
     got = [(r.fp, r.root) for r in simhash.link_fingerprints(rows).collect()]
